@@ -20,4 +20,24 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_decontaminate": op6_decontaminate}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of 4-word shingles of every document and the components of links at 4 bits or fewer."""
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, max_bits=4, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record into archives in the shared folder, then read back from them."""
+    from .warc import round_trip
+
+    found = round_trip(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
+}
