@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from rows of four of five folds."""
+    from .langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 5, 0)
+    found = identify(docs, train(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by windows of 10 words of every benchmark item."""
     from .decontam import contamination
@@ -37,6 +47,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
