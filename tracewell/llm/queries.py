@@ -46,9 +46,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from labelled rows of two of three folds."""
+    from .langid import held_out
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = held_out(F.col("doc_id"), 3, 1)
+    found = score(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~out))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
 }
