@@ -30,6 +30,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document tokenised, cut and packed into sequences of at most 1024 ids."""
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 4-word shingles of every document and the components of links at 4 bits or fewer."""
     from .simhash import near_duplicates
@@ -59,6 +68,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
