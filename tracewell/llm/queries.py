@@ -39,6 +39,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 4-word shingles of every document and the components of links at 4 bits or fewer."""
     from .simhash import near_duplicates
@@ -69,6 +76,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op3_packing": op3_packing,
+    "op4_html": op4_html,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
