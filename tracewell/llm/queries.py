@@ -30,6 +30,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license of every document, with coverage, and how many stretches cover a template."""
+    from .licenses import scan_documents
+
+    found = scan_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "license", "coverage", "n_matches")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenised, cut and packed into sequences of at most 1024 ids."""
     import public_tokenizers
@@ -75,6 +83,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op4_html": op4_html,
     "op5_simhash": op5_simhash,
