@@ -81,6 +81,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier in the corpus."""
+    from .suffixdedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"), least=100)
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_licenses": op2_licenses,
@@ -90,4 +97,5 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
