@@ -81,6 +81,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of at least 0.93 cosine between vectors of a label, for every vector, and their components."""
+    from .vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.93)[0]
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 100-byte strings that start earlier in the corpus."""
     from .suffixdedup import deduplicate
@@ -97,5 +104,6 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
+    "op9_vectors": op9_vectors,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
