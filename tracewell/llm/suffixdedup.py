@@ -43,6 +43,7 @@ WANTED = np.dtype([("doc", "<i8"), ("start", "<u4"), ("more", "<u1"), ("key", "<
 HELD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "<u1")])
 COVERED, ANCHORS, CONTEXTS, TEXTS = 0, 1, 2, 3
 ROW = "bucket int, kind int, doc bigint, id bigint, data binary"
+NAMES = ["bucket", "kind", "doc", "id", "data"]
 
 
 def squeeze(rows: np.ndarray, extra: bytes = b"") -> bytes:
@@ -329,27 +330,28 @@ def kept_text(data: bytes, covered: np.ndarray) -> str:
     return raw[heads[0] :][np.repeat(gone == 0, size)].tobytes().decode("utf-8", "replace")
 
 
-def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of every row (doc_id bigint, text)."""
+def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, the carried columns]) of every row (doc_id bigint, text)."""
     to = 4 * partitions(documents)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST_ID))
     # The bucket of a document is computed alike here and in numpy: see spread().
-    base = documents.select(doc.alias("doc"), F.col("doc_id").cast("bigint").alias("id"), data.alias("data"))
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit(None).cast("string")
+    base = documents.select(doc.alias("doc"), F.col("doc_id").cast("bigint").alias("id"), data.alias("data"), rest.alias("rest"))
 
     def placed(batches):
         for batch in batches:
             bucket = spread(batch.column(0).to_numpy(), to).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), TEXTS, np.int32)), *batch.columns], ["bucket", "kind", "doc", "id", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), TEXTS, np.int32)), *batch.columns], [*NAMES, "rest"])
 
-    texts = base.mapInArrow(placed, ROW)
-    covered = ranges(texts, least, to)
+    texts = base.mapInArrow(placed, f"{ROW}, rest string")
+    covered = ranges(texts.drop("rest"), least, to).withColumn("rest", F.lit(None).cast("string"))
 
     def remove(batches):
         bucket, parts_of, rows, heads = None, [], np.empty(0, RANGE), None
         for batch in batches:
             out = []
-            for b, kind, doc, row_id, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for b, kind, doc, row_id, data, others in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if b != bucket:
                     bucket, parts_of, heads = b, [], None
                 if kind == COVERED:
@@ -360,13 +362,17 @@ def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False)
                 lo, hi = heads.get(doc, (0, 0))
                 gone, spans = kept_bytes(data, rows[lo:hi], least)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
-                out.append((row_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept_text(data, gone)] if with_text else [])))
+                out.append((row_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), others, *([kept_text(data, gone)] if with_text else [])))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names_out)  # noqa: B905
 
-    names_out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
+    names_out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest", *["kept_text"] * with_text]
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest string" + ", kept_text string" * with_text
     both = covered.unionByName(texts)
-    return both.repartition(partitions(documents), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(remove, schema)
+    done = both.repartition(partitions(documents), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(remove, schema)
+    if carry:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in carry)
+        done = done.withColumn("rest", F.from_json("rest", kinds)).select("*", *[F.col(f"rest.`{c}`").alias(c) for c in carry])
+    return done.drop("rest")

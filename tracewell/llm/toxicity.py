@@ -268,3 +268,16 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,marginal:double>>")
+
+
+def reject(documents: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns; nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            scores, _ = tag([t or "" for t in batch.column(at).to_pylist()], shared.value)
+            yield batch.filter(pa.array(scores < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
