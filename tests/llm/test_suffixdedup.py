@@ -53,6 +53,7 @@ def planted(rng, n=60):
 def test_against_brute_force(spark, monkeypatch, many):
     monkeypatch.setattr(suffixdedup, "MANY", many)
     monkeypatch.setattr(suffixdedup, "TRANSFORM", 5000)
+    monkeypatch.setattr(suffixdedup, "STRETCH", 350 if many == 1 else 1 << 20)
     rows = planted(random.Random(many))
     docs = spark.createDataFrame([(k, t, 7) for k, t in rows.items()], "doc_id bigint, text string, bucket int").repartition(5)
     check(deduplicate(docs, 100).collect(), brute_force(rows, 100))

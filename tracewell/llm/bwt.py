@@ -85,36 +85,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the k bytes at each place, by doubling."""
-    h = _mix(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    width, parts, offset = 1, [], 0
+def gram_hashes(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """64-bit hashes of the bytes at each place, for each size, by doubling."""
+    level, width = _mix(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), 1
+    totals, offsets = [np.zeros(max(0, len(data) - k + 1), np.uint64) for k in sizes], [0] * len(sizes)
     while True:
-        if k & width:
-            parts.append((h, offset))
-            offset += width
-        if width * 2 > k:
-            break
-        h = _mix(h[:-width] * np.uint64(0xBF58476D1CE4E5B9) + h[width:])
+        for i, k in enumerate(sizes):
+            if k & width:
+                part = level[offsets[i] : offsets[i] + len(totals[i])]
+                totals[i] = part.copy() if not offsets[i] else _mix(totals[i] * np.uint64(0x94D049BB133111EB) + part)
+                offsets[i] += width
+        if width * 2 > max(sizes) or len(level) <= width:
+            return totals
+        level = _mix(level[:-width] * np.uint64(0xBF58476D1CE4E5B9) + level[width:])
         width *= 2
-    size = len(data) - k + 1
-    total = np.zeros(size, np.uint64)
-    for part, at in parts:
-        total = _mix(total * np.uint64(0x94D049BB133111EB) + part[at : at + size])
-    return total
+
+
+#: Places that fit beside the hash in ``anchors``.
+PLACES = 24
 
 
 def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` neighbouring hashes, the place of the least (the first of equals)."""
-    n = len(hashes)
-    place = np.arange(n)
-    span = 1
-    best = place
+    """For each run of ``width`` neighbouring hashes, the place of the least by its high bits (the first of equals)."""
+    n, low = len(hashes), np.uint64((1 << PLACES) - 1)
+    if n > 1 << PLACES:
+        raise ValueError("too many hashes for one call")
+    best, span = (hashes & ~low) | np.arange(n, dtype=np.uint64), 1
     while span * 2 <= width:
-        a, b = best[: len(best) - span], best[span:]
-        best = np.where(hashes[b] < hashes[a], b, a)
+        best = np.minimum(best[:-span], best[span:])
         span *= 2
     if span < width:
-        a, b = best[: n - width + 1], best[width - span :]
-        best = np.where(hashes[b] < hashes[a], b, a)
-    return best
+        best = np.minimum(best[: n - width + 1], best[width - span :])
+    return (best & low).astype(np.int64)

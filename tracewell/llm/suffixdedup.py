@@ -6,7 +6,7 @@ place as representative, all others are covered. Where an anchor has several dif
 bytes are gathered, and the Burrows-Wheeler transform of their text is searched breadth first up to ``least``: windows
 that stay in one interval are equal, and all but the earliest are covered.
 
-Anchors and ranges travel as packed arrays, a row for each batch and bucket. Texts meet the ranges that concern them
+Texts travel compressed, anchors and ranges as packed arrays, a row for each batch and bucket. Texts meet the ranges that concern them
 by a bucket of their id. Equal contexts of a batch are merged before the shuffle, and an anchor with very many
 different contexts is dealt again by single windows, so no key's rows pile up in a task.
 
@@ -29,8 +29,8 @@ from .common import materialise
 
 #: Bytes of an anchor: longer ones meet less by chance, shorter ones are fewer.
 GRAM = 48
-#: Text handled at once, and bytes of contexts in one transform.
-BLOCK, TRANSFORM = 1 << 22, 1 << 21
+#: Text whose anchors are sought at once (longer texts in overlapping stretches), bytes of contexts sent at once, and bytes of one transform.
+STRETCH, BLOCK, TRANSFORM = 1 << 20, 1 << 22, 1 << 20
 #: An anchor with more different contexts than this is dealt by single windows.
 MANY = 1024
 #: Bytes of input for each partition of a shuffle beyond spark.sql.shuffle.partitions.
@@ -61,6 +61,10 @@ def unsqueeze(data: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:
     return rows, raw[at:]
 
 
+def unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def spread(x: np.ndarray, buckets: int) -> np.ndarray:
     return (bwt._mix(x.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
@@ -88,17 +92,35 @@ def _dealt(rows: np.ndarray, to: np.ndarray, kind: int, lengths: np.ndarray | No
     return found
 
 
-def contexts(docs: list[bytes], ids: np.ndarray, least: int) -> np.ndarray:
-    """The contexts of a block of texts as ANCHOR rows. ``more``: windows of a context beside its first."""
+def stretches(docs: list[bytes], ids: list[int], least: int):
+    """Blocks of (text, id, place in its text): texts together up to STRETCH bytes, a longer one by itself in pieces that share ``least - 1`` bytes."""
+    block, size = [], 0
+    for doc, k in zip(docs, ids, strict=True):
+        for at in range(0, max(1, len(doc) - least + 1), STRETCH):
+            piece = doc[at : at + STRETCH + least - 1] if len(doc) > STRETCH else doc
+            if block and size + len(piece) > STRETCH:
+                yield block
+                block, size = [], 0
+            block.append((piece, k, at))
+            size += len(piece)
+            if len(doc) <= STRETCH:
+                break
+    if block:
+        yield block
+
+
+def contexts(docs: list[bytes], ids: np.ndarray, least: int, base: np.ndarray | int = 0) -> np.ndarray:
+    """The contexts of a block of texts as ANCHOR rows. ``more``: windows of a context beside its first; ``base``: each text's place in its document."""
     data = np.frombuffer(b"".join(docs), np.uint8)
     if len(data) < least:
         return np.empty(0, ANCHOR)
-    ends = np.cumsum([len(d) for d in docs])
+    sizes = np.array([len(d) for d in docs])
+    ends = np.cumsum(sizes)
     gram = min(GRAM, least)
-    hashes, whole = bwt.gram_hashes(data, gram), bwt.gram_hashes(data, least)
+    hashes, whole = bwt.gram_hashes(data, gram, least)
     place = bwt.anchors(hashes, least - gram + 1)
     start = np.arange(len(place))
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[: len(place)]
+    doc = np.repeat(np.arange(len(docs)), sizes)[: len(place)]
     inside = start + least <= ends[doc]
     start, place, doc = start[inside], place[inside], doc[inside]
     if not len(start):
@@ -110,7 +132,7 @@ def contexts(docs: list[bytes], ids: np.ndarray, least: int) -> np.ndarray:
     a, b = start[lo], start[hi]
     rows["key"], rows["more"], rows["doc"] = hashes[place[lo]], b - a, ids[doc[lo]]
     rows["context"] = bwt._mix(whole[a]) * np.uint64(3) + whole[b] + bwt._mix((b - a).astype(np.uint64))
-    rows["start"] = a - (ends[doc[lo]] - np.array([len(d) for d in docs])[doc[lo]])
+    rows["start"] = a - (ends - sizes - base)[doc[lo]]
     return rows
 
 
@@ -193,15 +215,10 @@ def ranges(documents: DataFrame, least: int, to: int) -> DataFrame:
     def find(batches):
         """Texts -> their contexts by key; those equal to an earlier one of the batch are covered at once."""
         for batch in batches:
-            ids, docs = np.array(batch.column(2).to_pylist(), np.int64), batch.column(4).to_pylist()
-            got, k = [], 0
-            while k < len(docs):
-                stop, size = k, 0
-                while stop < len(docs) and (stop == k or size + len(docs[stop]) < BLOCK):
-                    size += len(docs[stop])
-                    stop += 1
-                got.append(contexts(docs[k:stop], ids[k:stop], least))
-                k = stop
+            got = []
+            for block in stretches([unzip(x) for x in batch.column(4).to_pylist()], batch.column(2).to_pylist(), least):
+                docs, ids, base = zip(*block, strict=True)
+                got.append(contexts(list(docs), np.array(ids, np.int64), least, np.array(base)))
             firsts, later = classes(np.concatenate(got) if got else np.empty(0, ANCHOR), "key", "context")
             firsts = firsts[np.lexsort([firsts["start"], firsts["doc"]])]
             yield _rows(_dealt(firsts, spread(firsts["key"], buckets), ANCHORS) + [(b, k, d, i, x) for b, k, d, i, x in _cover(later, to)])
@@ -243,6 +260,7 @@ def ranges(documents: DataFrame, least: int, to: int) -> DataFrame:
                     wanted, heads = by_document(parts_of, WANTED)
                 if doc not in heads:
                     continue
+                data = unzip(data)
                 lo, hi = heads[doc]
                 mine = wanted[lo:hi]
                 mine = mine[mine["start"].astype(np.int64) + mine["more"] + least <= len(data)]
@@ -255,7 +273,7 @@ def ranges(documents: DataFrame, least: int, to: int) -> DataFrame:
                     one = np.empty(int(n.sum()), HELD)
                     one["doc"], one["more"] = doc, 0
                     one["start"] = np.repeat(singles["start"].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    one["key"] = bwt._mix(bwt.gram_hashes(np.frombuffer(data, np.uint8), least)[one["start"]])
+                    one["key"] = bwt._mix(bwt.gram_hashes(np.frombuffer(data, np.uint8), least)[0][one["start"]])
                     held = np.concatenate([held, one])
                 if not len(held):
                     continue
@@ -335,14 +353,15 @@ def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False,
     to = 4 * partitions(documents)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST_ID))
-    # The bucket of a document is computed alike here and in numpy: see spread().
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit(None).cast("string")
     base = documents.select(doc.alias("doc"), F.col("doc_id").cast("bigint").alias("id"), data.alias("data"), rest.alias("rest"))
 
     def placed(batches):
         for batch in batches:
             bucket = spread(batch.column(0).to_numpy(), to).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), TEXTS, np.int32)), *batch.columns], [*NAMES, "rest"])
+            packer = zstandard.ZstdCompressor(level=1)
+            data = pa.array([packer.compress(x) for x in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), TEXTS, np.int32)), *batch.columns[:2], data, batch.column(3)], [*NAMES, "rest"])
 
     texts = base.mapInArrow(placed, f"{ROW}, rest string")
     covered = ranges(texts.drop("rest"), least, to).withColumn("rest", F.lit(None).cast("string"))
@@ -360,6 +379,7 @@ def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False,
                 if heads is None:
                     rows, heads = by_document(parts_of, RANGE)
                 lo, hi = heads.get(doc, (0, 0))
+                data = unzip(data)
                 gone, spans = kept_bytes(data, rows[lo:hi], least)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
                 out.append((row_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), others, *([kept_text(data, gone)] if with_text else [])))
