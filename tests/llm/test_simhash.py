@@ -59,6 +59,29 @@ def test_large_group_is_compared_in_chunks(spark, monkeypatch):
     assert {i: comps.get(i, i) for i in range(len(fps))} == want
 
 
+def test_similar_groups_keep_one_of_each(spark):
+    from tracewell.llm.simhash import shingles, similar_groups
+
+    rng = random.Random(9)
+    vocabulary, texts, groups = ["w%d" % i for i in range(5000)], [None, "", None, "solo", "solo"], []
+    for _ in range(20):
+        base = rng.choices(vocabulary, k=200)
+        group = [len(texts) + k for k in range(4)]
+        texts += [" ".join(base), " ".join(base), " ".join([*base[:100], "edited", *base[101:]]).upper(), " ".join(["x", *base])]
+        groups.append(group)
+    texts += [" ".join(rng.choices(vocabulary, k=150)) for _ in range(60)]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, component int")
+    dropped = {r.doc_id: r.leader for r in similar_groups(frame).collect()}
+    assert all(lead < d and lead not in dropped for d, lead in dropped.items())
+    for d, lead in dropped.items():
+        a, b = shingles(texts[d], 5), shingles(texts[lead], 5)
+        assert len(a & b) >= 0.8 * len(a | b)
+    assert {1, 2, 4} <= dropped.keys() and 0 not in dropped and 3 not in dropped
+    assert all([k for k in group if k not in dropped] == group[:1] for group in groups)
+    assert not dropped.keys() & set(range(len(texts) - 60, len(texts)))
+    assert similar_groups(frame.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

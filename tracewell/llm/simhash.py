@@ -134,3 +134,124 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, max_bits: int = 4, s
         F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(placed, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+
+
+#: The wide fingerprints of ``similar_groups``: bits, and keys of KEY_BLOCKS blocks of 4 bits each.
+WIDE_BITS, WIDE_SEEDS, WIDE_KEYS, KEY_BLOCKS = 128, (42, 43), 64, 4
+#: How often documents that aren't similar to their component's leader choose another one.
+LEADERS = 6
+
+
+def wide_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, a, b): 128 bits of fingerprint as two signed integers."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            halves = [pa.array(np.array([fingerprint(t, shingle, s) for t in texts], np.uint64).view(np.int64)) for s in WIDE_SEEDS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *halves], ["doc_id", "a", "b"])
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, a bigint, b bigint")
+
+
+def _wide_keys():
+    """Keys of four blocks each, drawn once and for all; close fingerprints agree on some of them."""
+    rng = np.random.default_rng(11)
+    keys = []
+    for k in range(WIDE_KEYS):
+        key = F.lit(k << 16)
+        for j, block in enumerate(rng.permutation(WIDE_BITS // 4)[:KEY_BLOCKS].tolist()):
+            part = F.shiftrightunsigned("a" if block < 16 else "b", 4 * (block % 16)).bitwiseAND(F.lit(15)).cast("int")
+            key = key.bitwiseOR(F.shiftleft(part, 4 * j))
+        keys.append(key)
+    return F.array(*keys)
+
+
+def wide_links_in_groups(batches, max_bits: int):
+    """Rows (g, a, b, rep) sorted by g -> links (u, v) of a spanning forest of each group."""
+    rest = [np.empty(0, np.int64)] * 4
+
+    def links(cols, ends):
+        found, lo = [], 0
+        for hi in ends:
+            n = hi - lo
+            if n > 1:
+                a, b, reps = (c[lo:hi] for c in cols[1:])
+                a, b, labels, step = a.view(np.uint64), b.view(np.uint64), np.arange(n, dtype=np.int64), max(1, (1 << 20) // n)
+                for k in range(0, n - 1, step):
+                    far = np.bitwise_count(a[k : k + step, None] ^ a[None, k:]) + np.bitwise_count(b[k : k + step, None] ^ b[None, k:])
+                    i, j = np.nonzero(far <= max_bits)
+                    i, j = i[j > i], j[j > i]
+                    if len(i):
+                        labels = roots(n, i + k, j + k, labels)
+                out = np.flatnonzero(labels != np.arange(n))
+                found.append((reps[out], reps[labels[out]]))
+            lo = hi
+        u, v = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for batch in batches:
+        cols = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest)]
+        ends = np.flatnonzero(np.diff(cols[0])) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        rest = [c[last:] for c in cols]
+        if last:
+            yield links([c[:last] for c in cols], ends.tolist())
+    if len(rest[0]):
+        yield links(rest, [len(rest[0])])
+
+
+def shingles(text: str | None, size: int) -> set[int]:
+    """Hashes of the distinct shingles of a text; of the whole of it if it has fewer words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, leader): documents to drop, each with an earlier document whose shingles are at least that similar (Jaccard).
+
+    Candidates are components of wide fingerprints that agree on at least ``similarity`` of their bits; the smallest id of a component
+    leads it, members that aren't similar to it choose a leader among themselves again, LEADERS times. Every dropped document
+    is verified against its leader, so no other document is lost by a chance link; the work is linear in the members of a component.
+    """
+    prints = materialise(wide_fingerprints(documents, shingle))
+    classes = materialise(prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    keyed = classes.select("a", "b", "rep", F.explode(_wide_keys()).alias("key"))
+    size = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumnRenamed("key", "k")
+    met = keyed.join(size, F.col("key") == F.col("k")).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "a", "b", "rep").repartition("g").sortWithinPartitions("g")
+    max_bits = int(WIDE_BITS * (1 - similarity))
+    comps = connected_components(dealt.mapInArrow(lambda batches: wide_links_in_groups(batches, max_bits), "u bigint, v bigint"))
+    # Only documents that share a component: linked classes, and classes of several documents.
+    several = classes.join(comps, F.col("rep") == F.col("node"), "left").filter((F.col("n") > 1) | F.col("component").isNotNull())
+    several = several.select(F.col("a").alias("x"), F.col("b").alias("y"), F.coalesce("component", "rep").alias("component"))
+    members = prints.join(several, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select(F.col("doc_id").alias("id"), "component")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    left = materialise(texts.join(members, F.col("doc_id") == F.col("id")).select("doc_id", "component", "text"))
+    dropped = None
+
+    def compare(batches):
+        leader, own = None, set()
+        for batch in batches:
+            same = []
+            for text, of, lead in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if lead != leader:
+                    leader, own = lead, shingles(of, shingle)
+                mine = shingles(text, shingle)
+                both = len(mine & own)
+                same.append(both >= similarity * (len(mine) + len(own) - both))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 4)), pa.array(same, pa.bool_())], ["doc_id", "component", "text", "leader", "same"])
+
+    for _ in range(LEADERS):
+        first = left.groupBy("component").agg(F.min("doc_id").alias("leader")).withColumnRenamed("component", "c")
+        led = left.select(F.col("doc_id").alias("d"), F.col("component").alias("dc"), F.col("text").alias("of")).join(first, (F.col("dc") == F.col("c")) & (F.col("d") == F.col("leader"))).select("c", "leader", "of")
+        # Copies of a leader's own row are not among its members.
+        pairs = left.join(led, (F.col("component") == F.col("c")) & (F.col("doc_id") != F.col("leader")))
+        judged = materialise(pairs.select("doc_id", "component", "text", "of", "leader").mapInArrow(compare, "doc_id bigint, component bigint, text string, leader bigint, same boolean"))
+        found = judged.filter("same").select("doc_id", "leader")
+        dropped = found if dropped is None else dropped.unionByName(found)
+        left = judged.filter("NOT same").select("doc_id", "component", "text")
+        if left.isEmpty():
+            break
+    return dropped
