@@ -11,7 +11,7 @@ from tracewell.llm import decontam, langid, packing, simhash, suffixdedup, toxic
 from tracewell.llm.common import scratch, table
 
 TOXIC_SCORE = 0.7
-SHINGLE, MAX_BITS = 5, 4
+SHINGLE, SIMILARITY = 5, 0.8
 LEAST_REPEAT = 100
 BENCHMARK_WORDS = 10
 SEQUENCE, END_ID = 1024, 2
@@ -25,10 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of SimHash near-duplicates."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, MAX_BITS)
-    others = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("other_id"))
-    return docs.join(others, docs["doc_id"] == F.col("other_id"), "left_anti")
+    """One document, the one with the smallest id, of each group of SimHash near-duplicates, each verified by its shingles."""
+    dropped = simhash.similar_groups(docs.select("doc_id", "text"), SHINGLE, SIMILARITY).select(F.col("doc_id").alias("dropped_id"))
+    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
