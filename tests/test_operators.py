@@ -16,8 +16,8 @@ CAPTURE = [
     line("mark", name="session.start", metadata={"session_id": "s", "agent_kind": "root"}),
     line("mark", name="x", metadata={"hook_event_name": "PreCompact"}),
     line("mark", name="llm.chunk"),
-    line(category="custom", scope_category="start", name="turn", metadata={"nemo_relay_scope_role": "turn"}, data={"prompt": "hi"}),
-    line(category="custom", scope_category="start", name="turn", metadata={"nemo_relay_scope_role": "turn"}, data={"prompt": 5}),
+    line(category="custom", scope_category="start", name="turn", metadata={"scope_role": "turn"}, data={"prompt": "hi"}),
+    line(category="custom", scope_category="start", name="turn", metadata={"scope_role": "turn"}, data={"prompt": 5}),
     line(category="tool", scope_category="start", name="Read", category_profile={"tool_call_id": "c1"}),
     line(category="tool", scope_category="end", name="Read", category_profile={"tool_call_id": "c1"}, metadata={"status": "denied", "tool_correlation_status": "explicit"}),
     line(category="llm", scope_category="end", name="m", metadata={"status": "maybe"}),
@@ -121,3 +121,52 @@ def test_every_query_matches_its_sql(spark, sf):
         assert sorted(names) == sorted(got.columns), name
         key = lambda row: tuple(str(plain(v)) for v in row)
         assert sorted(map(key, got.select(*names).collect())) == sorted(map(key, want.fetchall())), name
+
+
+def test_tool_runs_and_model_calls(spark):
+    from tracewell.functions.policy import Policy
+    from tracewell.operators import record
+
+    rows = [
+        ("s", 1, "PromptSubmitted", None, None, "do it", None), ("s", 2, "ToolCallStarted", "c", "Read", "args", None), ("s", 3, "ToolCallEnded", "c", "Read", "result", False),
+        ("s", 4, "ToolCallEnded", "c", "Read", "result", False), ("s", 5, "ToolCallEnded", "x", "Lone", None, None), ("s", 6, "ToolCallStarted", "o", "Open", "a", None),
+    ]
+    events_ = spark.createDataFrame(rows, "session_id string, seq bigint, event string, call_id string, name string, text string, is_error boolean")
+    runs = {r.name: r for r in record.tool_runs(events_, Policy((), 4)).collect()}
+    assert set(runs) == {"Read", "Lone"} and runs["Lone"].refused and len(runs["Read"].inputs) == 3 and len(runs["Read"].outputs) == 1
+    assert [a.withheld_because for a in runs["Read"].assets] == ["TooLarge", None, "TooLarge"]
+    assert {(r.kind, r.name) for r in record.actors(events_).collect()} == {("tool", "Read"), ("tool", "Lone"), ("tool", "Open")}
+    said = spark.createDataFrame([("s", 0, "system", "sys"), ("s", 1, "user", "q"), ("s", 2, "assistant", "a"), ("s", 3, "assistant", "b")], "session_id string, seq bigint, role string, text string")
+    calls = record.model_calls(said, Policy()).orderBy("seq").collect()
+    assert [len(c.inputs) for c in calls] == [2, 1]
+    assert record.assets_of(record.model_calls(said, Policy())).count() == 4
+
+
+def test_extractors(spark):
+    from tracewell.operators import extract
+
+    state = {"files": {"b": {"content": ["x", "y"]}, "a": "t", "c": None, "d": 5}, "update": {"todos": [{"status": "completed"}, {"status": "open"}]}, "other": {"files": {"no": "x"}}, "skills_metadata": [{"name": "k"}, 3]}
+    rows = extract.extract(spark.createDataFrame([("r", json.dumps(state)), ("n", None)], "run_id string, state string")).collect()
+    assert sorted((r.kind, r.cid if r.cid.startswith("<") else "") for r in rows) == [("file:a", ""), ("file:b", ""), ("file:c", "<deleted>"), ("file:d", "<unreadable>"), ("plan:1 open", "")]
+
+    def broken(path, value):
+        raise ValueError
+
+    def claims_all(path, value):
+        return [("created", "mine", None, "m")] if path == ("files",) else None
+
+    assert extract.walk(state, (*extract.BUILT_IN, claims_all, broken))[1][0][2] == "mine"
+
+
+def test_names_snapshots_and_verdicts(spark):
+    from tracewell.sources import gateway, sinks
+
+    rows = [("s/1", 0, True), ("s/1", 1, True), ("s/1", 0, False)]
+    got = {r.file_name for r in sinks.file_names(spark.createDataFrame(rows, "session_id string, incarnation int, attributed boolean")).collect()}
+    assert got == {"s_00002f1.json", "s_00002f1.1.json", "s_00002f1.unattributed.json"}
+    due = spark.createDataFrame([(1, 0, True), (23, 0, False), (24, 0, False), (24, 65_536 * 30, False)], "n int, b bigint, f boolean")
+    assert [r[0] for r in due.select(sinks.snapshot_due(F.col("n"), F.col("b"), F.col("f"))).collect()] == [True, False, True, False]
+    tries = spark.createDataFrame([(200, "ready", 0), (200, "failed", 0), (200, "pending", 1), (404, None, 1), (404, None, 3), (503, None, 2), (403, None, 0), (503, None, 11)], "h int, s string, w int")
+    assert [r[0] for r in tries.select(gateway.verdict(F.col("h"), F.col("s"), F.col("w"))).collect()] == ["ready", "failed", "retry", "retry", "missing", "retry", "missing", "missing"]
+    ids_ = spark.createDataFrame([({"X-Request-ID": "01234567-89ab-cdef-0123-456789abcdef"},), ({"x-request-id": "no"},)], "h map<string,string>")
+    assert [r[0] is None for r in ids_.select(gateway.request_id(F.col("h"), "x-request-id")).collect()] == [False, True]

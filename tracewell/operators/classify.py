@@ -83,10 +83,13 @@ def _text(variant: str, path: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.col(variant), path, "string"))
 
 
-def classify(events: DataFrame) -> DataFrame:
-    """Decoded host events (schemas.EVENT) -> lineage events; events without one are dropped."""
+def classify(events: DataFrame, role_key: str = "scope_role") -> DataFrame:
+    """Decoded host events (schemas.EVENT) -> lineage events; events without one are dropped.
+
+    ``role_key`` is the metadata key under which the host states a scope's role (turn, subagent).
+    """
     meta = lambda k: _text("metadata", f"$.{k}")
-    hook, role = meta("hook_event_name"), meta("nemo_relay_scope_role")
+    hook, role = meta("hook_event_name"), meta(role_key)
     prompt = _text("data", "$.prompt")
     end = F.col("scope_category") == "end"
     named = F.coalesce(meta("agent_type"), meta("subagent_type"), F.nullif("name", F.lit("")))

@@ -260,3 +260,47 @@ def virtual_files(t):
     return t("documents").select("doc_id", F.explode(files).alias("path", "f")).select(
         "doc_id", F.when(F.col("f.deleted"), "<deleted>").when(F.col("f.content").isNull(), "<unreadable>").otherwise(digest("f.content")).alias("placeholder"), "path"
     )
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text, arg_min(text, turn) FILTER (role = 'system') OVER w AS sys, max(CASE WHEN role = 'user' THEN turn END) OVER w AS t, arg_max(text, turn) FILTER (role = 'user') OVER w AS prompt
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY turn) AS nth FROM m WHERE role = 'assistant')
+SELECT conv_id AS session_id, turn AS seq, list_filter([sha256(sys), CASE WHEN nth = 1 THEN sha256(prompt) END], lambda x: x IS NOT NULL) AS inputs, [sha256(text)] AS outputs FROM a""")
+def model_call_graph(t):
+    """Answered model calls as computations: system prompt and the turn's prompt, once, in; the completion out."""
+    from ..functions.policy import Policy
+    from ..operators.record import model_calls
+
+    said = t("conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", "text")
+    return model_calls(said, Policy()).select("session_id", "seq", "inputs", "outputs")
+
+
+@query()
+def tool_run_graph(t):
+    """Tool runs as computations, with withheld payloads: prompt, tool and arguments in, result out."""
+    from ..functions.policy import Policy
+    from ..operators.record import tool_runs
+    from .base import lineage
+
+    e = lineage(t("events")).withColumn("call_id", F.concat("session_id", F.lit(":"), F.floor(F.col("seq") / 2))).withColumn("text", F.concat("props", F.lit(" "), F.round("value", 0).cast("int")))
+    return tool_runs(e, Policy((), 12)).select("session_id", "seq", "name", "inputs", "outputs", "is_error", "refused")
+
+
+@query()
+def session_documents(t):
+    """The JSON document of each conversation: a statement for each message, a blob for each text."""
+    from ..sources.manifest import as_documents
+
+    c = t("conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("st"), "turn").alias("id"), F.sha2("text", 256).alias("cid"), F.encode("text", "utf-8").alias("bytes"))
+    body = F.to_json(F.struct(F.lit("DataRegistration").alias("@type"), F.col("cid").alias("data")))
+    return as_documents(c.select("session_id", "id", body.alias("body")), c.select("session_id", "cid", "bytes"))
+
+
+@query()
+def extracted_state(t):
+    """Assets that extractors claim in states made of documents."""
+    from ..operators.extract import extract
+
+    d = t("documents")
+    state = F.to_json(F.struct(F.create_map("source", "text").alias("files"), F.array(F.struct(F.lit("open").alias("status"), F.col("lang").alias("content"))).alias("todos")))
+    return extract(d.select(F.col("doc_id").cast("string").alias("run_id"), state.alias("state"))).drop("content")
