@@ -8,7 +8,7 @@ def test_article_without_furniture():
     page = f"""<!DOCTYPE html><html><head><title>T, t.</title><style>p{{x:"</p>"}}</style><script>var a="<p>no, no.</p>";</script></head><body>
     <header><h1>Site</h1></header><nav><ul><li><a href="/x">Home</a><li><a>News</a></ul></nav><div class="cookie-notice"><p>{P}</p></div>
     <!-- <p>hidden</p> --><article><h1>Head&amp;line</h1><p><b>First&nbsp;{P}<br><p>Second
-       {P}</p><p>Short.</p><ul><li>one<li>two</ul><aside><p>{P}</p></aside><div class="ad">{P}</div><form>{P}<input></form></article>
+       {P}</p><p>Short.</p><ul><li>one<li>two</ul><aside><p>{P}</p></aside><div class="ad">{P}</div><form>{P}<input></form><div hidden>{P}</div><p style="display: none">{P}</p></article>
     <section id="comments"><p>{P}</p></section><footer>&copy; {P}</footer>"""
     assert main_text(page) == "\n".join(["Head&line", f"First {P}", f"Second {P}", "Short.", "one", "two"])
 

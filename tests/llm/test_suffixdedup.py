@@ -87,3 +87,15 @@ def test_transform_classes():
         for i, k in zip(order.tolist(), number.tolist(), strict=True):
             found.setdefault(k, set()).add(ring[i : i + least])
         assert all(len(x) == 1 for x in found.values()) and len(set().union(*found.values())) == len(found)
+
+
+def test_long_texts_are_cut_into_stretches_without_losing_windows(monkeypatch):
+    monkeypatch.setattr(suffixdedup, "STRETCH", 300)
+    rng = random.Random(6)
+    docs = [bytes(rng.choices(b"ab", k=n)) for n in (0, 40, 99, 100, 299, 300, 301, 399, 400, 2000)]
+    starts = {k: [] for k in range(len(docs))}
+    for block in suffixdedup.stretches(docs, list(range(len(docs))), 100):
+        texts, ids, base = zip(*block, strict=True)
+        for r in suffixdedup.contexts(list(texts), np.array(ids), 100, np.array(base)):
+            starts[int(r["doc"])] += range(int(r["start"]), int(r["start"]) + int(r["more"]) + 1)
+    assert {k: sorted(v) for k, v in starts.items()} == {k: list(range(max(0, len(d) - 99))) for k, d in enumerate(docs)}

@@ -35,7 +35,8 @@ FURNITURE_TAGS = frozenset("nav aside footer form head button select dialog menu
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login menu navbar navigation nav breadcrumb breadcrumbs sidebar side rail widget widgets related recommended recommendations "
-    "comment comments respond disqus reply replies share sharing social footer footnav masthead toolbar pagination pager skip tags toc".split()
+    "comment comments respond disqus reply replies share sharing social footer footnav masthead toolbar pagination pager skip tags toc disclaimer paywall teaser teasers trending "
+    "popular search complementary contentinfo navigation".split()
 )
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div body td center html blockquote figure".split())
@@ -45,6 +46,7 @@ TOKEN = re.compile(
 )
 NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: A path is content if its fused ratio reaches this share of the page's highest.
 THRESHOLD = 0.12
 #: The article's container holds this share of the content's characters.
@@ -115,7 +117,7 @@ def blocks_of(html: str) -> list[Block]:
         else:
             if name in INLINE:
                 marks = _marks(tag) if "=" in tag else []
-                stack.append((name, 0, "", any(x in FURNITURE_WORDS for x in marks)))
+                stack.append((name, 0, "", any(x in FURNITURE_WORDS for x in marks) or bool(HIDDEN.search(tag))))
                 continue
             flush()
             if name in CLOSES_PARAGRAPH:
@@ -139,7 +141,7 @@ def blocks_of(html: str) -> list[Block]:
             numbered += 1
             marks = _marks(tag) if "=" in tag else []
             inside = any(e[0] in CONTENT_TAGS for e in stack)
-            furniture = name in FURNITURE_TAGS or (name == "header" and not inside) or (name not in CONTENT_TAGS and name not in ("body", "html") and any(x in FURNITURE_WORDS for x in marks))
+            furniture = name in FURNITURE_TAGS or (name == "header" and not inside) or (name not in CONTENT_TAGS and name not in ("body", "html") and any(x in FURNITURE_WORDS for x in marks)) or bool(HIDDEN.search(tag))
             stack.append((name, numbered, f".{marks[0]}" if marks else "", furniture))
     if end < len(html):
         parts.append(unescape(html[end:]))

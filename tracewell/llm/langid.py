@@ -98,10 +98,8 @@ def predict(texts: list[str], model: Model, switch: float = SWITCH):
     tail = np.r_[head[1:], n] - 1
     cut = np.searchsorted(owner[head], np.arange(len(texts) + 1))
     spans = [(int(s), int(e), model.languages[x]) for s, e, x in zip(found.start[head], found.end[tail], labels[head], strict=True)]
-    return [
-        (model.languages[best[i]], float(share[i]), spans[cut[i] : cut[i + 1]]) if total[i] else ("und", 0.0, [])
-        for i in range(len(texts))
-    ]
+    lettered = [bool(total[i]) and any(map(str.isalpha, texts[i])) for i in range(len(texts))]  # marks alone are no letters
+    return [(model.languages[best[i]], float(share[i]), spans[cut[i] : cut[i + 1]]) if lettered[i] else ("und", 0.0, []) for i in range(len(texts))]
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
