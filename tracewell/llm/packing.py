@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Distinct pieces of text whose ids a worker keeps; beyond it the store is emptied and filled anew.
-KEPT = 1_500_000
+KEPT = 400_000
 #: White space of the splitting rule outside ASCII, and what may follow an apostrophe.
 SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")

@@ -128,38 +128,40 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     word = np.fromiter((seen.setdefault(w, len(seen)) for w in spelled), np.int32, len(doc))
     chars = np.frombuffer(f"\0{chr(0).join(seen)}\0".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     of = (np.cumsum(chars == 0) - 1).astype(np.int32)
-    row, col = [], []
-    for n in ORDERS:
-        at, inside = W.grams(chars, n, BITS)
-        row.append(of[: len(at)][inside])
-        col.append(at[inside].astype(np.int32))
-    # How many documents of either label hold an n-gram.
+    # How many documents of either label hold an n-gram, an order at a time; rare ones are let go at once.
     pairs = np.unique(doc.astype(np.int64) * len(seen) + word)
-    holds = np.zeros((2, len(ORDERS) << BITS), np.float32)
-    heads = [np.searchsorted(r, np.arange(len(seen) + 1)) for r in row]
-    toxic = []
-    for lo in range(0, len(rows), 64):
-        a, b = np.searchsorted(pairs, [lo * len(seen), (lo + 64) * len(seen)])
-        w, d = pairs[a:b] % len(seen), pairs[a:b] // len(seen)
-        mine: list[list[np.ndarray]] = [[] for _ in range(64)]
-        for i, (head, c) in enumerate(zip(heads, col, strict=True)):
+    row, col, names, holds = [], [], [], []
+    toxic: list[list[np.ndarray]] = [[] for _ in range(int(y.sum()))]
+    number = np.cumsum(y == 1) - 1
+    for i, n in enumerate(ORDERS):
+        at, inside = W.grams(chars, n, BITS)
+        r, c = of[: len(at)][inside], at[inside].astype(np.int32)
+        del at, inside
+        head, held_by, mine = np.searchsorted(r, np.arange(len(seen) + 1)), np.zeros((2, 1 << BITS), np.float32), []
+        for lo in range(0, len(rows), 64):
+            a, b = np.searchsorted(pairs, [lo * len(seen), (lo + 64) * len(seen)])
+            w, d = pairs[a:b] % len(seen), pairs[a:b] // len(seen)
             size = head[w + 1] - head[w]
             at = np.repeat(head[w] - np.cumsum(size) + size, size) + np.arange(size.sum())
             held = np.unique(np.repeat(d, size) << BITS | c[at])
-            of_doc, held = held >> BITS, (held & ((1 << BITS) - 1)) + (i << BITS)
-            np.add.at(holds, (y[of_doc].astype(int), held), 1)
-            cuts = np.searchsorted(of_doc, np.arange(lo, lo + 65))
-            for k in range(min(64, len(rows) - lo)):
-                if y[lo + k] == 1:
-                    mine[k].append(held[cuts[k] : cuts[k + 1]].astype(np.int32))
-        toxic += [np.concatenate(x) for x in mine if x]
-    del heads
-    row, col = np.concatenate(row), np.concatenate([c + (i << BITS) for i, c in enumerate(col)])
-    common = holds.sum(0) >= LEAST_DOCUMENTS
-    names, kept = np.flatnonzero(common), common[col]
-    slot = (np.cumsum(common) - 1).astype(np.int32)
-    row, col, holds = row[kept], slot[col[kept]], holds[:, names].astype(float)
-    toxic = [slot[t[common[t]]] for t in toxic]
+            of_doc, held = held >> BITS, (held & ((1 << BITS) - 1)).astype(np.int32)
+            np.add.at(held_by, (y[of_doc].astype(int), held), 1)
+            bad = y[of_doc] == 1
+            mine.append((number[of_doc[bad]], held[bad]))
+        common = held_by.sum(0) >= LEAST_DOCUMENTS
+        slot = (np.cumsum(common) - 1 + sum(map(len, names))).astype(np.int32)
+        for d, held in mine:
+            held, d = slot[held[common[held]]], d[common[held]]
+            cuts = np.flatnonzero(np.diff(d)) + 1
+            for k, part in zip(d[np.r_[0, cuts]] if len(d) else [], np.split(held, cuts), strict=False):
+                toxic[k].append(part)
+        kept = common[c]
+        row.append(r[kept])
+        col.append(slot[c[kept]])
+        names.append(np.flatnonzero(common) + (i << BITS))
+        holds.append(held_by[:, common])
+    row, col, names, holds = np.concatenate(row), np.concatenate(col), np.concatenate(names), np.concatenate(holds, 1).astype(float)
+    toxic = [np.concatenate(x) if x else np.empty(0, np.int32) for x in toxic]
     speaks = _speaking(holds, toxic, len(rows) - len(toxic), np.asarray(ORDERS)[names >> BITS])
     # The same in copies counts once: distinct (word before, word, word after) that hold an n-gram in toxic documents.
     before, after = np.r_[-1, word[:-1]], np.r_[word[1:], -1]
