@@ -18,4 +18,14 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op6_decontaminate": OP6}
+OP9 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS u, vec_id AS r FROM embeddings UNION SELECT l.u, reach.r FROM links l JOIN reach ON reach.u = l.v),
+comp AS (SELECT u, min(r) AS component_id FROM reach GROUP BY u), n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""
+
+ORACLES = {"op6_decontaminate": OP6, "op9_vectors": OP9}
