@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 #: Deeper chains than this are cut: a cycle guard.
 MAX_DEPTH = 64
 
@@ -12,7 +14,8 @@ MAX_DEPTH = 64
 def ancestors(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(node, ancestor, depth) of (node, parent) rows, each node being its own ancestor at depth 0.
 
-    Pointer doubling: each round joins the paths of one length with themselves, so depth d takes log d joins on the node key.
+    Pointer doubling: each round joins the paths of one length with themselves, so depth d takes log d joins on the node key. Each
+    round is written to shared storage, as the next one reads it more than once.
     """
     links = nodes.filter(F.col("parent").isNotNull() & ~F.col("parent").eqNullSafe(F.col("node"))).select("node", F.col("parent").alias("ancestor")).distinct()
     jumps, closure, length = links, nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct(), 1
@@ -21,8 +24,8 @@ def ancestors(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         if step.isEmpty():
             break
         further = closure.join(step, F.col("ancestor") == F.col("at")).select("node", F.col("up").alias("ancestor"), (F.col("depth") + length).alias("depth"))
-        closure = closure.unionByName(further)
-        jumps = jumps.join(step, F.col("ancestor") == F.col("at")).select("node", F.col("up").alias("ancestor"))
+        closure = materialise(closure.unionByName(further))
+        jumps = materialise(jumps.join(step, F.col("ancestor") == F.col("at")).select("node", F.col("up").alias("ancestor")))
         length *= 2
     return closure.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")).filter(F.col("depth") <= max_depth)
 

@@ -304,3 +304,11 @@ def extracted_state(t):
     d = t("documents")
     state = F.to_json(F.struct(F.create_map("source", "text").alias("files"), F.array(F.struct(F.lit("open").alias("status"), F.col("lang").alias("content"))).alias("todos")))
     return extract(d.select(F.col("doc_id").cast("string").alias("run_id"), state.alias("state"))).drop("content")
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'def ' || event_type || '(): ...' ELSE '{"name":"' || event_type || '"}' END AS identity FROM events""")
+def tool_sources(t):
+    """A tool's identity is its captured source where there is one, else its name: a small dimension that the planner broadcasts."""
+    e = t("events")
+    sources = e.sparkSession.createDataFrame([(k, f"def {k}(): ...") for k in ("view", "click")], "event_type string, source string")
+    return e.join(sources, "event_type", "left").select("event_id", F.coalesce("source", F.to_json(F.struct(F.col("event_type").alias("name")))).alias("identity"))
