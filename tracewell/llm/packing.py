@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Distinct pieces of text whose ids a worker keeps; beyond it the store is emptied and filled anew.
-KEPT = 400_000
+KEPT = 500_000
 #: White space of the splitting rule outside ASCII, and what may follow an apostrophe.
 SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -128,6 +128,12 @@ class Encoder:
         return np.split(ids.astype("<u4", copy=False), cuts[:-1]) if len(cuts) else []
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker, with what it has learnt in earlier tasks."""
+    return Encoder(path)
+
+
 def blocks(texts: list[str]):
     """Runs of texts of at most BLOCK code points, or of one longer text."""
     k = 0
@@ -154,7 +160,7 @@ def tokenise(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     """
 
     def run(batches):
-        encoder, part, met = Encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, part, met = encoder_of(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             k = 0
