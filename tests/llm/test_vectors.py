@@ -71,3 +71,15 @@ def test_pruning_keeps_directions():
         assert row[0] == near[p, 0]
         for k, b in enumerate(row):
             assert all(1.2 * (1 - x[a] @ x[b]) > 1 - x[p] @ x[b] - 1e-12 for a in row[:k])
+
+
+def test_a_crowd_around_one_vector_is_found_once_each():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([V.unit(rng.normal(size=(1, 64)) + rng.normal(size=(700, 64)) * 0.03), V.unit(rng.normal(size=(300, 64)))])
+    ids = np.arange(len(x))
+    u, v, n = V.links_of_cluster(ids, np.ones(len(x), np.int64), x, np.zeros((len(x), 1), np.int32), 0, 0.93)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    found = np.zeros(len(x), int)
+    found[u] = n
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.99 * near.sum()

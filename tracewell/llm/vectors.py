@@ -26,7 +26,13 @@ CLUSTER, SAMPLE, CENTROIDS = 1500, 8192, 4096
 #: Vectors of a shard within a cluster, and to how many shards each belongs.
 SHARD, SHARES = 512, 2
 #: Neighbours kept, candidates before pruning, the pruning's slack, and the search's list.
-DEGREE, CANDIDATES, ALPHA, BEAM = 20, 48, 1.2, 32
+DEGREE, CANDIDATES, ALPHA, BEAM = 20, 40, 1.2, 32
+#: Neighbours that point to a node and are kept beside its own, the nearest first; pairs of an expansion handled at once.
+REVERSE, PAIRS_AT_ONCE = 30, 1 << 20
+#: The search expands so far beyond the range, to reach neighbours that lie behind others; links are verified at the range itself.
+SLACK = 0.02
+#: Neighbours that a node has at least.
+FILL = 12
 #: Clusters that a vector is dealt to, tried in turn until the audit is content.
 OVERLAPS, ENOUGH, AUDITED = (3, 6, 12), 0.95, 512
 #: Queries searched side by side.
@@ -61,7 +67,7 @@ def prune(x: np.ndarray, near: np.ndarray, dist: np.ndarray, degree: int, alpha:
     out = np.full((n, degree), -1, np.int64)
     for lo in range(0, n, 256):
         c = x[near[lo : lo + 256]]
-        between = 1 - np.einsum("nid,njd->nij", c, c)
+        between = 1 - c @ c.transpose(0, 2, 1)
         d, open_ = dist[lo : lo + 256], np.ones((len(c), k), bool)
         rows = np.arange(len(c))
         for slot in range(degree):
@@ -76,6 +82,18 @@ def prune(x: np.ndarray, near: np.ndarray, dist: np.ndarray, degree: int, alpha:
     return out
 
 
+def fill(near: np.ndarray, kept: np.ndarray, least: int) -> np.ndarray:
+    """Lists shorter than ``least`` get the nearest candidates that were pruned: in a crowd around one vector, all else lies behind it."""
+    lists = kept.copy()
+    for slot in range(near.shape[1]):
+        short = np.flatnonzero((lists >= 0).sum(1) < least)
+        if not len(short):
+            break
+        new = short[(lists[short] != near[short, slot : slot + 1]).all(1)]
+        lists[new, (lists[new] >= 0).sum(1)] = near[new, slot]
+    return lists
+
+
 def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(adjacency lists filled up with -1, medoids) of unit vectors: the union of the graphs of overlapping shards."""
     n = len(x)
@@ -99,19 +117,22 @@ def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             sims = y[lo : lo + 2048] @ y.T
             sims[np.arange(len(sims)), lo + np.arange(len(sims))] = -np.inf
             near = nearest(sims, min(CANDIDATES, len(mine) - 1))
-            kept[lo : lo + 2048] = prune(y, near, 1 - np.take_along_axis(sims, near, 1), DEGREE, ALPHA)
+            kept[lo : lo + 2048] = fill(near, prune(y, near, 1 - np.take_along_axis(sims, near, 1), DEGREE, ALPHA), FILL)
         a, b = np.nonzero(kept >= 0)
         edges.append(np.stack([mine[a], mine[kept[a, b]]]))
     if not edges:
-        return np.full((n, 1), -1, np.int64), np.array(medoids)
-    pairs = np.concatenate(edges, 1)
-    pairs = np.concatenate([pairs, pairs[::-1]], 1)
-    pairs = np.unique(pairs[0] * n + pairs[1])
+        return np.full((n, 1), -1, np.int64), np.unique(medoids)
+    out = np.unique(np.concatenate([e[0] * n + e[1] for e in edges]))
+    a, b = out % n, out // n
+    order = np.lexsort((-np.concatenate([np.einsum("nd,nd->n", x[a[k : k + 65536]], x[b[k : k + 65536]]) for k in range(0, len(a), 65536)]), a))
+    a, b = a[order], b[order]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    pairs = np.unique(np.concatenate([out, (a * n + b)[rank < REVERSE]]))
     a, b = pairs // n, pairs % n
     count = np.bincount(a, minlength=n)
     lists = np.full((n, int(count.max())), -1, np.int64)
     lists[a, np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)] = b
-    return lists, np.array(medoids)
+    return lists, np.unique(medoids)
 
 
 def search(x: np.ndarray, lists: np.ndarray, medoids: np.ndarray, queries: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -154,17 +175,21 @@ def search(x: np.ndarray, lists: np.ndarray, medoids: np.ndarray, queries: np.nd
         all_done = np.concatenate([done[own], more_ids < 0], 1)
         top = np.argpartition(-all_sims, BEAM - 1, axis=1)[:, :BEAM]
         ids[own], sims[own], done[own] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_sims, all_done))
-    frontier = [np.concatenate(v) for v in zip(*found, strict=True)]
-    pairs = [tuple(frontier)]
+    frontier = tuple(np.concatenate(v) for v in zip(*found, strict=True))
+    pairs, step = [frontier], max(1, PAIRS_AT_ONCE // lists.shape[1])
     while len(frontier[0]):  # everything within range is expanded, not only the list's best
-        near = lists[frontier[1]]
-        r, c = np.nonzero((near >= 0) & ~seen[frontier[0][:, None], near])
-        code = np.unique(frontier[0][r] * n + near[r, c])
-        r, node = code // n, code % n
-        seen[r, node] = True
-        hit = np.concatenate([np.einsum("nd,nd->n", q[r[k : k + 65536]], x[node[k : k + 65536]]) >= reach for k in range(0, len(r), 65536)] or [np.empty(0, bool)])
-        frontier = [r[hit], node[hit]]
-        pairs.append(tuple(frontier))
+        hits = []
+        for k in range(0, len(frontier[0]), step):
+            by, at = frontier[0][k : k + step], frontier[1][k : k + step]
+            near = lists[at]
+            r, c = np.nonzero((near >= 0) & ~seen[by[:, None], near])
+            code = np.unique(by[r] * n + near[r, c])
+            r, node = code // n, code % n
+            seen[r, node] = True
+            hit = np.concatenate([np.einsum("nd,nd->n", q[r[i : i + 65536]], x[node[i : i + 65536]]) >= reach for i in range(0, len(r), 65536)] or [np.empty(0, bool)])
+            hits.append((r[hit], node[hit]))
+        frontier = tuple(np.concatenate(v) for v in zip(*hits, strict=True))
+        pairs.append(frontier)
     a, b = (np.concatenate(v) for v in zip(*pairs, strict=True))
     return a, b
 
@@ -181,7 +206,7 @@ def links_of_cluster(ids: np.ndarray, weights: np.ndarray, x64: np.ndarray, clus
     labels = np.arange(n)
     for lo in range(0, n, QUERIES_AT_ONCE):
         queries = np.arange(lo, min(n, lo + QUERIES_AT_ONCE))
-        a, b = search(x, lists, medoids, queries, least - 1e-4)
+        a, b = search(x, lists, medoids, queries, least - SLACK)
         a = a + lo
         for k in range(0, len(a), 65536):
             i, j = a[k : k + 65536], b[k : k + 65536]
