@@ -27,7 +27,8 @@ def test_stages_one_by_one(spark, sf, tmp_path):
     plain, got = brute_force(before, C.LEAST_REPEAT), {r.doc_id: r.text for r in after}
     for k, (_, removed, _, kept) in plain.items():
         if k in got:
-            assert got[k] == before[k] if not removed else got[k].encode().replace(b"\xef\xbf\xbd", b"")[:0] == b"" and len(got[k].encode()) >= len(kept)
+            # Characters of which only some bytes repeat stay, so a text may keep a few bytes more than the plain rule.
+            assert got[k] == before[k] if not removed else len(kept) <= len(got[k].encode()) <= len(kept) + 6 * plain[k][2]
         else:
             assert removed and not kept.decode("utf-8", "ignore").strip()
     before, after = steps["decontamination"]
