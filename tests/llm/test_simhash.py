@@ -90,3 +90,27 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "u bigint, v bigint")
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_similar_groups_leave_no_similar_pair_of_a_large_component(spark, monkeypatch):
+    from tracewell.llm import simhash
+
+    rng = random.Random(4)
+    head, texts = rng.choices(["w%d" % i for i in range(5000)], k=340), []
+    for k in range(12):  # one template, so all are candidates, but under 0.8
+        own = [*head, *("t%d_%d" % (k, i) for i in range(60))]
+        texts += [" ".join(own), " ".join(own), " ".join([*own[:-1], "edited"]), " ".join(own)]
+    rng.shuffle(texts)
+    for leaders, members in ((simhash.LEADERS, simhash.MEMBERS), (2, 5)):
+        monkeypatch.setattr(simhash, "LEADERS", leaders)
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        got = {r.doc_id: r.leader for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+        kept, want = [], {}
+        sets = [simhash.shingles(t, 5) for t in texts]
+        for d, own in enumerate(sets):
+            lead = next((k for k in kept if len(own & sets[k]) >= 0.8 * len(own | sets[k])), None)
+            if lead is None:
+                kept.append(d)
+            else:
+                want[d] = lead
+        assert len(kept) == 12 and got == want

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -138,8 +138,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, max_bits: int = 4, s
 
 #: The wide fingerprints of ``similar_groups``: bits, and keys of KEY_BLOCKS blocks of 4 bits each.
 WIDE_BITS, WIDE_SEEDS, WIDE_KEYS, KEY_BLOCKS = 128, (42, 43), 64, 4
-#: How often documents that aren't similar to their component's leader choose another one.
-LEADERS = 6
+#: Leaders of a component in a round of ``similar_groups`` and the characters of their texts at most; members compared by one task.
+LEADERS, LEADERS_CHARS, MEMBERS = 512, 1 << 23, 2048
 
 
 def wide_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
@@ -207,12 +207,77 @@ def shingles(text: str | None, size: int) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
+def shingle_array(text: str | None, size: int) -> np.ndarray:
+    """The shingles of a text as sorted numbers."""
+    own = shingles(text, size)
+    return np.sort(np.fromiter(own, np.uint64, len(own)))
+
+
+class Leaders:
+    """Texts by id of which none is similar to an earlier one, and the first of them that a text is similar to."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.ids, self.sizes, self.held, self.new = similarity, [], [], None, []
+
+    def first(self, mine: np.ndarray) -> int | None:
+        """The place of the first leader that is at least that similar, or None."""
+        if self.new and (self.held is None or len(self.new) >= 32):
+            self._index()
+        both = np.zeros(len(self.ids), np.int64)
+        if self.held is not None and len(mine):
+            keys, owner = self.held
+            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both += np.bincount(owner[at], minlength=len(both))
+        for place, own in self.new:
+            both[place] = len(np.intersect1d(mine, own, assume_unique=True))
+        same = np.flatnonzero(both >= self.similarity * (len(mine) + np.array(self.sizes, np.int64) - both))
+        return int(same[0]) if len(same) else None
+
+    def add(self, doc_id: int, mine: np.ndarray):
+        self.new.append((len(self.ids), mine))
+        self.ids.append(doc_id)
+        self.sizes.append(len(mine))
+
+    def _index(self):
+        keys, owner = np.concatenate([x for _, x in self.new]), np.repeat([p for p, _ in self.new], [len(x) for _, x in self.new])
+        if self.held is not None:
+            keys, owner = np.concatenate([self.held[0], keys]), np.concatenate([self.held[1], owner])
+        order = np.argsort(keys, kind="stable")
+        self.held, self.new = (keys[order], owner[order]), []
+
+
+def led_in_groups(batches, shingle: int, similarity: float):
+    """Rows (component, salt, member, doc_id, text) in order, a component's next leaders (member false) before its members.
+
+    -> (doc_id, component, text, leader): of each member the first leader that it is similar to, itself if it leads; null, with its text, if it is left.
+    """
+    group, leaders = None, Leaders(similarity)
+    for batch in batches:
+        out = []
+        for component, salt, member, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if (component, salt) != group:
+                group, leaders = (component, salt), Leaders(similarity)
+            mine = shingle_array(text, shingle)
+            at = leaders.first(mine) if leaders.ids else None
+            if member:
+                out.append((doc_id, component, text if at is None else None, None if at is None else leaders.ids[at]))
+            elif at is None:
+                leaders.add(doc_id, mine)
+        ids, components, texts, found = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(components, pa.int64()), pa.array(texts, pa.string()), pa.array(found, pa.int64())], ["doc_id", "component", "text", "leader"]
+        )
+
+
 def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, leader): documents to drop, each with an earlier document whose shingles are at least that similar (Jaccard).
 
-    Candidates are components of wide fingerprints that agree on at least ``similarity`` of their bits; the smallest id of a component
-    leads it, members that aren't similar to it choose a leader among themselves again, LEADERS times. Every dropped document
-    is verified against its leader, so no other document is lost by a chance link; the work is linear in the members of a component.
+    Candidates are components of wide fingerprints that agree on at least ``similarity`` of their bits. Of members with equal shingles
+    the first stands for all. The smallest ids of a component lead it, but for those that are similar to an earlier leader; members that aren't
+    similar to a leader choose leaders among themselves again, until none is left. So no two kept members of a component are that similar, and
+    every dropped document is verified against its leader. The work is the members of a component times its dissimilar ones.
     """
     prints = materialise(wide_fingerprints(documents, shingle))
     classes = materialise(prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
@@ -228,30 +293,35 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
     several = several.select(F.col("a").alias("x"), F.col("b").alias("y"), F.coalesce("component", "rep").alias("component"))
     members = prints.join(several, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select(F.col("doc_id").alias("id"), "component")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    left = materialise(texts.join(members, F.col("doc_id") == F.col("id")).select("doc_id", "component", "text"))
-    dropped = None
 
-    def compare(batches):
-        leader, own = None, set()
+    def digests(batches):
         for batch in batches:
-            same = []
-            for text, of, lead in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                if lead != leader:
-                    leader, own = lead, shingles(of, shingle)
-                mine = shingles(text, shingle)
-                both = len(mine & own)
-                same.append(both >= similarity * (len(mine) + len(own) - both))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 4)), pa.array(same, pa.bool_())], ["doc_id", "component", "text", "leader", "same"])
-
-    for _ in range(LEADERS):
-        first = left.groupBy("component").agg(F.min("doc_id").alias("leader")).withColumnRenamed("component", "c")
-        led = left.select(F.col("doc_id").alias("d"), F.col("component").alias("dc"), F.col("text").alias("of")).join(first, (F.col("dc") == F.col("c")) & (F.col("d") == F.col("leader"))).select("c", "leader", "of")
-        # Copies of a leader's own row are not among its members.
-        pairs = left.join(led, (F.col("component") == F.col("c")) & (F.col("doc_id") != F.col("leader")))
-        judged = materialise(pairs.select("doc_id", "component", "text", "of", "leader").mapInArrow(compare, "doc_id bigint, component bigint, text string, leader bigint, same boolean"))
-        found = judged.filter("same").select("doc_id", "leader")
+            found = [xxhash.xxh3_128_digest(shingle_array(t, shingle).tobytes()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], ["doc_id", "component", "text", "digest"])
+
+    known = texts.join(members, F.col("doc_id") == F.col("id")).select("doc_id", "component", "text").mapInArrow(digests, "doc_id bigint, component bigint, text string, digest binary")
+    known = materialise(known)
+    reps = materialise(known.groupBy("component", "digest").agg(F.min("doc_id").alias("rep")).select(F.col("component").alias("rc"), F.col("digest").alias("rd"), "rep"))
+    mine = (F.col("component") == F.col("rc")) & (F.col("digest") == F.col("rd"))
+    copies = known.select("doc_id", "component", "digest").join(reps, mine).filter("doc_id <> rep").select("doc_id", "rep")
+    # The rows of a document that repeats itself count once.
+    left = known.join(reps, mine & (F.col("doc_id") == F.col("rep"))).select("doc_id", "component", "text", "digest").dropDuplicates(["doc_id", "component", "digest"]).drop("digest")
+    dropped = None
+    while True:
+        sizes = left.groupBy("component").agg(F.count("*").alias("m")).filter("m > 1")
+        chunks = sizes.select(F.col("component").alias("c"), F.ceil(F.col("m") / MEMBERS).cast("int").alias("chunks"))
+        open_ = left.join(chunks, F.col("component") == F.col("c"))
+        order = Window.partitionBy("component").orderBy("doc_id")
+        lead = open_.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LEADERS)
+        lead = lead.withColumn("chars", F.sum(F.length(F.coalesce("text", F.lit("")))).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("place") == 1) | (F.col("chars") <= LEADERS_CHARS))
+        lead = lead.select("component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.lit(False).alias("member"), "doc_id", "text")
+        rows = lead.unionByName(open_.select("component", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("salt"), F.lit(True).alias("member"), "doc_id", "text"))
+        rows = rows.repartition("component", "salt").sortWithinPartitions("component", "salt", "member", "doc_id")
+        judged = materialise(rows.mapInArrow(lambda batches: led_in_groups(batches, shingle, similarity), "doc_id bigint, component bigint, text string, leader bigint"))
+        found = judged.filter("leader < doc_id").select("doc_id", "leader")
         dropped = found if dropped is None else dropped.unionByName(found)
-        left = judged.filter("NOT same").select("doc_id", "component", "text")
+        left = judged.filter("leader IS NULL").select("doc_id", "component", "text")
         if left.isEmpty():
             break
-    return dropped
+    led = dropped.select(F.col("doc_id").alias("d"), "leader")
+    return dropped.unionByName(copies.join(led, F.col("rep") == F.col("d"), "left").select("doc_id", F.coalesce("leader", "rep").alias("leader")))
