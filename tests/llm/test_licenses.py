@@ -58,3 +58,15 @@ def test_whole_table_against_plain_search(spark):
         want = {n for n, line in lines.items() if f" {line} " in plain}
         assert (got[k] in want) if want else got[k] is None
     assert sum(x is not None for x in got.values()) > 5
+
+
+def test_copies_that_lack_different_guards_are_all_found():
+    whole = TEMPLATES["MIT-text"]
+    edited, other = whole.replace("sublicense", "sub-license"), whole.replace("documentation", "docs")
+    filler = "lorem ipsum dolor " * 200
+    for texts in ([edited, whole], [whole, edited], [edited, other, whole, edited]):
+        for gap in (filler, "sublicense " + filler + "sublicense ", "\n"):
+            got = [m for m in scan(gap.join(texts), PREPARED) if m.name == "MIT-text"]
+            assert len(got) == len(texts) and max(m.coverage for m in got) >= (1.0 if gap == filler else 0.98)
+            assert all(a.end <= b.start + 60 for a, b in itertools.pairwise(got))
+    assert [m.name for m in scan(whole + " sublicense", PREPARED)].count("MIT-text") == 1

@@ -143,20 +143,25 @@ def scan(text: str | None, templates: list[Template], threshold: float = THRESHO
         n = len(t.words)
         if (guard := min((g for g in t.guards if g in places), key=lambda g: len(places[g]), default=None)) is None:
             continue
-        done = -1
-        # Any covering stretch has some guard; the rarest of them in the text comes first, the others as a second look.
+        used: set[int] = set()  # places of words in matches
+        # Any covering stretch has some guard, but not all of them have the same one.
         for g in [guard, *[g for g in t.guards if g in places and g != guard]]:
             before = t.words.index(g)
             for at in places[g]:
                 if any(m.name == t.name and m.start <= spans[at][0] < m.end for m in found):
                     continue
                 lo, hi = max(0, at - before - before // 4 - 2), min(len(words), at + (n - before) + (n - before) // 4 + 2)
-                pairs = align(words[lo:hi], t.words)
-                if len(pairs) >= threshold * n:
-                    found.append(Match(t.name, len(pairs) / n, spans[lo + pairs[0][0]][0], spans[lo + pairs[-1][0]][1], n))
-                    done = at
-            if done >= 0:
-                break
+                for k in range(2):
+                    pairs = align(words[lo:hi], t.words)
+                    # Words of a match don't count for another; beside one, the stretch is looked at again without it.
+                    if len(pairs) >= threshold * n and sum(lo + i not in used for i, _ in pairs) >= threshold * n:
+                        found.append(Match(t.name, len(pairs) / n, spans[lo + pairs[0][0]][0], spans[lo + pairs[-1][0]][1], n))
+                        used.update(lo + i for i, _ in pairs)
+                        break
+                    beside = [i for i in range(lo, hi) if i in used] if used and not k else []
+                    if not beside:
+                        break
+                    lo, hi = max([lo, *(i + 1 for i in beside if i < at)]), min([hi, *(i for i in beside if i > at)])
     return sorted(found, key=lambda m: (m.start, m.end, m.name))
 
 
