@@ -83,3 +83,18 @@ def test_a_crowd_around_one_vector_is_found_once_each():
     found = np.zeros(len(x), int)
     found[u] = n
     assert (found <= near.sum(1)).all() and found.sum() >= 0.99 * near.sum()
+
+
+def test_links_of_clusters_are_whole_for_both_vectors(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([V.unit(rng.normal(size=(1, 64)) + rng.normal(size=(400, 64)) * s) for s in (0.2, 0.25, 0.27, 0.3, 0.32)])
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    weights, clusters = rng.integers(1, 4, len(x)), np.sort(np.argsort(rng.random((len(x), 4)), axis=1)[:, :3], axis=1).astype(np.int32)
+    monkeypatch.setattr(V, "COLUMNS", 700)
+    found = np.zeros(len(x), int)
+    for own in range(4):  # any two vectors share two clusters at least
+        at = np.flatnonzero((clusters == own).any(1))
+        u, _, n = V.links_of_cluster(at, weights[at], x[at], clusters[at], own, 0.93)
+        np.add.at(found, u, n)
+    assert near.any() and (found == near @ weights).all()

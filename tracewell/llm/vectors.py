@@ -1,9 +1,8 @@
-"""Embedding near-duplicates by a robust-pruned flat graph.
+"""Embedding near-duplicates by overlapping clusters.
 
-Equal vectors of a label are one class. Classes are dealt to the clusters of several nearest centroids; within a cluster a graph
-is built on overlapping shards (nearest candidates, pruned so that kept neighbours point in different directions), the
-shards' adjacency lists are united, and every vector is searched: greedily from the shards' medoids, then
-expanding over neighbours within the range. Found pairs are verified by their cosine in double precision. An audit compares a sample
+Equal vectors of a label are one class. Classes are dealt to the clusters of several nearest centroids; within a cluster all pairs are
+compared in blocks, by their cosine in double precision, so every cluster that holds a pair finds it and the one that owns it counts it
+for both. An audit compares a sample
 of queries with all vectors; if its recall is too low the vectors are dealt to more clusters.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors without a label, link with nothing
@@ -23,20 +22,10 @@ from .components import connected_components, roots
 
 #: Vectors of a cluster on average; vectors of a label that centroids are fitted on at most; centroids of a label at most.
 CLUSTER, SAMPLE, CENTROIDS = 1500, 8192, 4096
-#: Vectors of a shard within a cluster, and to how many shards each belongs.
-SHARD, SHARES = 512, 2
-#: Neighbours kept, candidates before pruning, the pruning's slack, and the search's list.
-DEGREE, CANDIDATES, ALPHA, BEAM = 20, 40, 1.2, 32
-#: Neighbours that point to a node and are kept beside its own, the nearest first; pairs of an expansion handled at once.
-REVERSE, PAIRS_AT_ONCE = 30, 1 << 20
-#: The search expands so far beyond the range, to reach neighbours that lie behind others; links are verified at the range itself.
-SLACK = 0.02
-#: Neighbours that a node has at least.
-FILL = 12
+#: Rows and columns of a block of a cluster's pairs; pairs of a block handled at once.
+SHARD, COLUMNS, PAIRS_AT_ONCE = 512, 4096, 65536
 #: Clusters that a vector is dealt to, tried in turn until the audit is content.
 OVERLAPS, ENOUGH, AUDITED = (3, 6, 12), 0.95, 512
-#: Queries searched side by side.
-QUERIES_AT_ONCE = 1024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -82,140 +71,26 @@ def prune(x: np.ndarray, near: np.ndarray, dist: np.ndarray, degree: int, alpha:
     return out
 
 
-def fill(near: np.ndarray, kept: np.ndarray, least: int) -> np.ndarray:
-    """Lists shorter than ``least`` get the nearest candidates that were pruned: in a crowd around one vector, all else lies behind it."""
-    lists = kept.copy()
-    for slot in range(near.shape[1]):
-        short = np.flatnonzero((lists >= 0).sum(1) < least)
-        if not len(short):
-            break
-        new = short[(lists[short] != near[short, slot : slot + 1]).all(1)]
-        lists[new, (lists[new] >= 0).sum(1)] = near[new, slot]
-    return lists
-
-
-def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(adjacency lists filled up with -1, medoids) of unit vectors: the union of the graphs of overlapping shards."""
-    n = len(x)
-    shards = -(-n // SHARD)
-    if shards == 1:
-        members = [np.arange(n)]
-    else:
-        near = nearest(x @ centroids(x[:: max(1, n // SAMPLE)], shards).T, SHARES)
-        members = [np.flatnonzero((near == s).any(1)) for s in range(shards)]
-    edges, medoids = [], []
-    for mine in members:
-        if not len(mine):
-            continue
-        y = x[mine]
-        medoids.append(mine[(y @ y.mean(0)).argmax()])
-        if len(mine) == 1:
-            continue
-        # A shard of many near-equal vectors may be large; its candidates are sought in blocks of rows.
-        kept = np.empty((len(mine), DEGREE), np.int64)
-        for lo in range(0, len(mine), 2048):
-            sims = y[lo : lo + 2048] @ y.T
-            sims[np.arange(len(sims)), lo + np.arange(len(sims))] = -np.inf
-            near = nearest(sims, min(CANDIDATES, len(mine) - 1))
-            kept[lo : lo + 2048] = fill(near, prune(y, near, 1 - np.take_along_axis(sims, near, 1), DEGREE, ALPHA), FILL)
-        a, b = np.nonzero(kept >= 0)
-        edges.append(np.stack([mine[a], mine[kept[a, b]]]))
-    if not edges:
-        return np.full((n, 1), -1, np.int64), np.unique(medoids)
-    out = np.unique(np.concatenate([e[0] * n + e[1] for e in edges]))
-    a, b = out % n, out // n
-    order = np.lexsort((-np.concatenate([np.einsum("nd,nd->n", x[a[k : k + 65536]], x[b[k : k + 65536]]) for k in range(0, len(a), 65536)]), a))
-    a, b = a[order], b[order]
-    rank = np.arange(len(a)) - np.searchsorted(a, a)
-    pairs = np.unique(np.concatenate([out, (a * n + b)[rank < REVERSE]]))
-    a, b = pairs // n, pairs % n
-    count = np.bincount(a, minlength=n)
-    lists = np.full((n, int(count.max())), -1, np.int64)
-    lists[a, np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)] = b
-    return lists, np.unique(medoids)
-
-
-def search(x: np.ndarray, lists: np.ndarray, medoids: np.ndarray, queries: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place in queries, place in x) with a similarity of at least ``reach`` that the graph leads to."""
-    n, m = len(x), len(queries)
-    q = x[queries]
-    seen = np.zeros((m, n), bool)
-    start = medoids[:BEAM]
-    seen[:, start] = True
-    ids = np.full((m, BEAM), -1, np.int64)
-    sims = np.full((m, BEAM), -np.inf, x.dtype)
-    ids[:, : len(start)], sims[:, : len(start)] = start, q @ x[start].T
-    done = ids < 0
-    found = [np.nonzero(sims >= reach)]
-    found = [(found[0][0], ids[found[0]])]
-    rows = np.arange(m)
-    while True:
-        best = np.where(done, -np.inf, sims)
-        pick = best.argmax(1)
-        live = np.flatnonzero(best[rows, pick] > -np.inf)
-        if not len(live):
-            break
-        done[live, pick[live]] = True
-        near = lists[ids[live, pick[live]]]
-        fresh = (near >= 0) & ~seen[live[:, None], near]
-        r, c = np.nonzero(fresh)
-        r, node = live[r], near[r, c]
-        if not len(r):
-            continue
-        seen[r, node] = True
-        value = np.einsum("nd,nd->n", q[r], x[node])
-        hit = value >= reach
-        found.append((r[hit], node[hit]))
-        own = np.unique(r)
-        width = np.bincount(r, minlength=m)[own]
-        more_ids, more = np.full((len(own), width.max()), -1, np.int64), np.full((len(own), width.max()), -np.inf, x.dtype)
-        at = (np.searchsorted(own, r), np.arange(len(r)) - np.repeat(np.cumsum(width) - width, width))
-        more_ids[at], more[at] = node, value
-        all_ids, all_sims = np.concatenate([ids[own], more_ids], 1), np.concatenate([sims[own], more], 1)
-        all_done = np.concatenate([done[own], more_ids < 0], 1)
-        top = np.argpartition(-all_sims, BEAM - 1, axis=1)[:, :BEAM]
-        ids[own], sims[own], done[own] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_sims, all_done))
-    frontier = tuple(np.concatenate(v) for v in zip(*found, strict=True))
-    pairs, step = [frontier], max(1, PAIRS_AT_ONCE // lists.shape[1])
-    while len(frontier[0]):  # everything within range is expanded, not only the list's best
-        hits = []
-        for k in range(0, len(frontier[0]), step):
-            by, at = frontier[0][k : k + step], frontier[1][k : k + step]
-            near = lists[at]
-            r, c = np.nonzero((near >= 0) & ~seen[by[:, None], near])
-            code = np.unique(by[r] * n + near[r, c])
-            r, node = code // n, code % n
-            seen[r, node] = True
-            hit = np.concatenate([np.einsum("nd,nd->n", q[r[i : i + 65536]], x[node[i : i + 65536]]) >= reach for i in range(0, len(r), 65536)] or [np.empty(0, bool)])
-            hits.append((r[hit], node[hit]))
-        frontier = tuple(np.concatenate(v) for v in zip(*hits, strict=True))
-        pairs.append(frontier)
-    a, b = (np.concatenate(v) for v in zip(*pairs, strict=True))
-    return a, b
-
-
 def links_of_cluster(ids: np.ndarray, weights: np.ndarray, x64: np.ndarray, clusters: np.ndarray, own: int, least: float):
     """(u, v, n): for each class of a cluster the root of its found component, and the vectors that it links to in pairs owned here.
 
     A pair that several clusters hold is counted by the one with the smallest number.
     """
     y = unit(x64)
-    x = y.astype(np.float32)
-    lists, medoids = build(x)
     n, counts = len(ids), np.zeros(len(ids), np.int64)
     labels = np.arange(n)
-    for lo in range(0, n, QUERIES_AT_ONCE):
-        queries = np.arange(lo, min(n, lo + QUERIES_AT_ONCE))
-        a, b = search(x, lists, medoids, queries, least - SLACK)
-        a = a + lo
-        for k in range(0, len(a), 65536):
-            i, j = a[k : k + 65536], b[k : k + 65536]
-            sure = (i != j) & (np.einsum("nd,nd->n", y[i], y[j]) >= least)
-            i, j = i[sure], j[sure]
-            labels = roots(n, i, j, labels)
-            common = np.where((clusters[i][:, :, None] == clusters[j][:, None, :]).any(2), clusters[i], np.iinfo(np.int32).max).min(1)
-            mine = common == own
-            counts += np.bincount(i[mine], weights[j[mine]], n).astype(np.int64)
+    step = max(1, min(PAIRS_AT_ONCE, (1 << 24) // clusters.shape[1] ** 2))
+    for lo in range(0, n, SHARD):
+        for left in range(lo, n, COLUMNS):
+            a, b = np.nonzero(y[lo : lo + SHARD] @ y[left : left + COLUMNS].T >= least)
+            a, b = a + lo, b + left
+            a, b = a[a < b], b[a < b]
+            for k in range(0, len(a), step):
+                i, j = a[k : k + step], b[k : k + step]
+                labels = roots(n, i, j, labels)
+                common = np.where((clusters[i][:, :, None] == clusters[j][:, None, :]).any(2), clusters[i], np.iinfo(np.int32).max).min(1)
+                i, j = i[common == own], j[common == own]
+                counts += (np.bincount(i, weights[j], n) + np.bincount(j, weights[i], n)).astype(np.int64)
     keep = (counts > 0) | (labels != np.arange(n))
     return ids[keep], ids[labels[keep]], counts[keep]
 
