@@ -98,3 +98,16 @@ def test_links_of_clusters_are_whole_for_both_vectors(monkeypatch):
         u, _, n = V.links_of_cluster(at, weights[at], x[at], clusters[at], own, 0.93)
         np.add.at(found, u, n)
     assert near.any() and (found == near @ weights).all()
+
+
+def test_a_label_that_misses_links_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(V, "CLUSTER", 8)
+    monkeypatch.setattr(V, "WHOLE", 50)
+    monkeypatch.setattr(V, "ENOUGH", 1.0)
+    monkeypatch.setattr(V, "AUDITED_PART", 1000)
+    rng = np.random.default_rng(6)
+    crowd = V.unit(rng.normal(size=(1, 16))) + rng.normal(size=(300, 16)) * 0.02
+    small = np.concatenate([b + rng.normal(size=(4, 16)) * 0.2 for b in rng.normal(size=(60, 1, 16))])
+    rows = [(i, v.tolist(), label) for i, (v, label) in enumerate([*((v, 1) for v in crowd), *((v, 2) for v in small)])]
+    got, recall = V.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), overlaps=(1,))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == brute_force(rows) and recall == 1.0

@@ -3,7 +3,7 @@
 Equal vectors of a label are one class. Classes are dealt to the clusters of several nearest centroids; within a cluster all pairs are
 compared in blocks, by their cosine in double precision, so every cluster that holds a pair finds it and the one that owns it counts it
 for both. An audit compares a sample
-of queries with all vectors; if its recall is too low the vectors are dealt to more clusters.
+of each label with all vectors; labels whose recall is too low are dealt to more clusters, and at last compared whole.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors without a label, link with nothing
 and are components of their own; vectors of different lengths don't link; rows that repeat a vec_id count as vectors each; an empty table gives no
@@ -24,8 +24,10 @@ from .components import connected_components, roots
 CLUSTER, SAMPLE, CENTROIDS = 1500, 8192, 4096
 #: Rows and columns of a block of a cluster's pairs; pairs of a block handled at once.
 SHARD, COLUMNS, PAIRS_AT_ONCE = 512, 4096, 65536
-#: Clusters that a vector is dealt to, tried in turn until the audit is content.
-OVERLAPS, ENOUGH, AUDITED = (3, 6, 12), 0.95, 512
+#: Clusters that a vector is dealt to, tried in turn until the audit is content; labels that never pass are compared in pairs of chunks of WHOLE.
+OVERLAPS, ENOUGH, WHOLE = (3, 6, 12), 0.95, 4096
+#: Classes audited of all, and of each label that has several clusters.
+AUDITED, AUDITED_PART = 512, 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -144,6 +146,15 @@ def deal(classes: DataFrame, centres: dict[str, np.ndarray], overlap: int) -> Da
     return dealt.withColumn("g", F.xxhash64("part", "cluster"))
 
 
+def deal_whole(classes: DataFrame) -> DataFrame:
+    """Classes in every pair of chunks of their group that has their own, as ``deal`` gives them: any two of a group meet."""
+    sizes = classes.groupBy("part").agg(F.ceil(F.count("*") / WHOLE).cast("int").alias("chunks")).withColumnRenamed("part", "p")
+    met = classes.join(sizes, F.col("part") == F.col("p")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    number = lambda x: F.least("own", x) * F.col("chunks") + F.greatest("own", x)
+    met = met.withColumn("clusters", F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), number)).withColumn("cluster", F.explode("clusters"))
+    return met.select("part", "cluster", "clusters", "rep", "n", "embedding").withColumn("g", F.xxhash64("part", "cluster"))
+
+
 def found_links(dealt: DataFrame, least: float) -> DataFrame:
     """(u, v, n) of every cluster; see links_of_cluster."""
 
@@ -174,23 +185,31 @@ def found_links(dealt: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, overlaps: tuple[int, ...] = OVERLAPS) -> tuple[DataFrame, float]:
-    """((vec_id, n_links, component_id, kept) of every row, the audit's recall)."""
+    """((vec_id, n_links, component_id, kept) of every row, the audit's lowest recall of a label)."""
     base = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "embedding")
     some = valid(base).withColumn("part", F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string")))
     classes = materialise(some.groupBy("part", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     centres = fit_centroids(classes)
-    for overlap in overlaps:
-        links = materialise(found_links(deal(classes, centres, overlap), least))
+    pending, settled, recalls = classes, None, {}
+    for overlap in (*overlaps, None):
+        links = materialise(found_links(deal_whole(pending) if overlap is None else deal(pending, centres, overlap), least))
         comps = connected_components(links.select("u", "v"))
         sums = links.groupBy("u").agg(F.sum("n").alias("linked"))
-        placed = classes.join(sums, F.col("rep") == F.col("u"), "left").join(comps, F.col("rep") == F.col("node"), "left")
-        placed = placed.select(
+        found = pending.join(sums, F.col("rep") == F.col("u"), "left").join(comps, F.col("rep") == F.col("node"), "left")
+        found = found.select(
             "part", "embedding", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
         )
-        placed = materialise(placed)
-        recall = audit(some, placed, least) if centres else 1.0
-        if recall >= ENOUGH:
+        found = materialise(found)
+        recalls |= audit(some, found, least, list(centres))
+        missed = [g for g, r in recalls.items() if r < ENOUGH]
+        if overlap is None and missed:
+            raise RuntimeError(f"links are missing after all pairs were compared: {missed[:5]}")
+        settled_now = found.filter(~F.col("part").isin(missed)) if missed else found
+        settled = settled_now if settled is None else settled.unionByName(settled_now)
+        if not missed:
             break
+        pending = pending.filter(F.col("part").isin(missed))
+    placed, recall = settled, min(recalls.values(), default=1.0)
     part = F.when(F.col("label").isNotNull() & F.col("embedding").isNotNull(), F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string")))
     result = base.withColumn("p", part).join(
         placed.withColumnRenamed("embedding", "e"), (F.col("p") == F.col("part")) & (F.col("embedding") == F.col("e")), "left"
@@ -199,26 +218,36 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, overlaps: tuple[int
     return result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")), recall
 
 
-def audit(some: DataFrame, placed: DataFrame, least: float, sample: int = AUDITED) -> float:
-    """Recall of links: at most ``sample`` classes, picked by a hash, against all vectors by brute force in blocks."""
-    total = placed.count()
-    pick = F.pmod(F.xxhash64("embedding", F.lit("audit")), F.lit(1 << 30)) < int(min(1, sample / max(1, total)) * (1 << 30))
-    queries = placed.filter(pick & (F.col("n_links") >= 0)).select("part", "embedding", "n_links").take(2 * sample)
+def audit(some: DataFrame, placed: DataFrame, least: float, large: list[str], sample: int = AUDITED) -> dict[str, float]:
+    """The mean recall of links of each group's audited classes, compared with all vectors by brute force in blocks.
+
+    About ``sample`` classes of all are picked by a hash, and AUDITED_PART of each of the ``large`` groups, so none of these goes unseen.
+    """
+    rate = F.lit(sample) / F.lit(max(1, placed.count()))
+    if large:
+        sizes = placed.filter(F.col("part").isin(large)).groupBy("part").agg(F.count("*").alias("m")).withColumnRenamed("part", "p")
+        placed = placed.join(F.broadcast(sizes), F.col("part") == F.col("p"), "left")
+        rate = F.greatest(rate, F.lit(AUDITED_PART) / F.col("m"))
+    pick = F.pmod(F.xxhash64("embedding", F.lit("audit")), F.lit(1 << 30)) < F.least(rate, F.lit(1.0)) * (1 << 30)
+    queries = placed.filter(pick).select("part", "embedding", "n_links").collect()
     if not queries:
-        return 1.0
-    groups: dict[str, np.ndarray] = {}
-    for g in {r.part for r in queries}:
-        groups[g] = unit(np.array([r.embedding for r in queries if r.part == g], np.float64))
-    found = sum(r.n_links for r in queries)
+        return {}
+    places: dict[str, list[int]] = {}
+    for k, r in enumerate(queries):
+        places.setdefault(r.part, []).append(k)
+    groups = {g: (np.array(at, np.int64), unit(np.array([queries[k].embedding for k in at], np.float64))) for g, at in places.items()}
 
     def run(batches):
         for batch in batches:
-            parts, n = np.array(batch.column(0).to_pylist()), 0
+            parts = np.array(batch.column(0).to_pylist())
+            at, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for g in np.unique(parts):
                 if g in groups:
                     y = unit(_matrix(batch.column(1).take(pa.array(np.flatnonzero(parts == g)))))
-                    n += int((groups[g] @ y.T >= least).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+                    at.append(groups[g][0])
+                    n.append((groups[g][1] @ y.T >= least).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate(n))], ["at", "n"])
 
-    true = some.select("part", "embedding").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] - len(queries)
-    return found / true if true else 1.0
+    true = dict(some.select("part", "embedding").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n") - 1).collect())
+    shares = {g: [queries[k].n_links / true[k] for k in at if true[k]] for g, at in places.items()}
+    return {g: float(np.mean(s)) if s else 1.0 for g, s in shares.items()}
