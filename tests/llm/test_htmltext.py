@@ -39,3 +39,11 @@ def test_every_page_has_a_row(spark, sf):
     got = op4_html(spark, sf).collect()
     assert {r.page_id: r.text for r in got} == {k: main_text(h) for k, h in pages.items()}
     assert all(r.n_chars == len(r.text) > 0 for r in got)
+
+
+def test_content_outside_the_largest_container():
+    body, end = [f"{P} {k}" for k in range(20)], f"End. {P}"
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    assert main_text(f"<body><div><p>{P}</p></div><div>{paragraphs}</div><div><p>{end}</p></div></body>") == "\n".join([P, *body, end])
+    page = f"<body><article><h2>One</h2>{paragraphs}</article><article><h2>Two</h2><p>{P}</p><p>{P}</p><p>{end}</p></article></body>"
+    assert main_text(page) == "\n".join(["One", *body, "Two", P, P, end])

@@ -2,8 +2,8 @@
 
 A page becomes blocks of text, each with its root-to-leaf tag path. Text length and punctuation are summed per
 path and divided by its blocks, smoothed over the page's order, fused by their product and held against a threshold; the
-paths above it are content. The smallest container that holds nearly all content is the article, and every block in it
-that isn't marked as page furniture belongs to the text, headings and short paragraphs too.
+paths above it are content. Content belongs to the text wherever it stands; in the smallest container that holds nearly all of it, or in
+article and main elements that hold some, so does every block that isn't marked as page furniture, headings and short paragraphs too.
 
 Defined results: null and empty html, and pages of markup alone, give an empty text; repeated rows are extracted
 each; unclosed and misnested markup is read as browsers do; an empty table gives no rows; other columns are ignored.
@@ -190,15 +190,15 @@ def main_text(html: str | None) -> str:
     holders = [e for e in weight if e[0] in CONTAINERS and weight[e] >= HELD * total]
     semantic = [e for e in weight if e[0] in CONTENT_TAGS and weight[e] >= 0.5 * total]
     if semantic:
-        box = min(semantic, key=lambda e: (-weight[e], depth[e]))
-        return "\n".join(b.text for b in blocks if box in b.elements and not b.furniture)
+        parts = {e for e in weight if e[0] in CONTENT_TAGS}
+        return "\n".join(b.text for b in blocks if not b.furniture and (b.path in paths or not parts.isdisjoint(b.elements)))
     box = max(holders, key=lambda e: depth[e], default=None)
     first = next(i for i, b in enumerate(blocks) if b is content[0])
     chosen = []
     for i, b in enumerate(blocks):
         heading = b.elements and re.fullmatch("h[1-6]", b.elements[-1][0])
         inside = box is None or box in b.elements
-        if b.furniture or not (inside or (heading and b.elements[-1][0] == "h1" and i < first)):
+        if b.furniture or not (inside or b.path in paths or (heading and b.elements[-1][0] == "h1" and i < first)):
             continue
         if b.path in paths or heading or (inside and b.linked < 0.5 * len(b.text)):
             chosen.append(b.text)
