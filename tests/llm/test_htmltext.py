@@ -47,3 +47,13 @@ def test_content_outside_the_largest_container():
     assert main_text(f"<body><div><p>{P}</p></div><div>{paragraphs}</div><div><p>{end}</p></div></body>") == "\n".join([P, *body, end])
     page = f"<body><article><h2>One</h2>{paragraphs}</article><article><h2>Two</h2><p>{P}</p><p>{P}</p><p>{end}</p></article></body>"
     assert main_text(page) == "\n".join(["One", *body, "Two", P, P, end])
+
+
+def test_marks_around_the_article_are_not_furniture():
+    body = "".join(f"<p>{P} {k}</p>" for k in range(6))
+    want = "\n".join(f"{P} {k}" for k in range(6))
+    rest = f"<div class='site-footer'><p>{P}</p></div><div class=comments><p>{P}</p><p>{P}</p></div>"
+    for start, end in (("<div class='layout has-sidebar'>", "</div>"), ("<div id=page class='no-comments'>", "</div>"), ("<form action=x>", "</form>"), ("<div class=sidebar>", "</div>")):
+        assert main_text(f"<body>{start}<article>{body}</article>{rest}{end}</body>") == want
+        assert main_text(f"<body>{start}<div>{body}</div>{rest}{end}</body>") == want
+    assert main_text(f"<body><section class='popular-science'>{body}</section>{rest}</body>") == want

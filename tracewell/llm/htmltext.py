@@ -38,6 +38,10 @@ FURNITURE_WORDS = frozenset(
     "comment comments respond disqus reply replies share sharing social footer footnav masthead toolbar pagination pager skip tags toc disclaimer paywall teaser teasers trending "
     "popular search complementary contentinfo navigation".split()
 )
+#: Beside these, other parts of a class or id don't change what it marks: site-footer, comments-area.
+SHAPES = frozenset("site page main post area box block list section container wrapper wrap left right top bottom primary secondary buttons links items item bar inner posts text".split())
+#: Elements that may stand around a whole page, so they are judged like marks by class.
+AROUND = frozenset(("form", "fieldset"))
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div body td center html blockquote figure".split())
 PUNCTUATION = re.compile(r"[.,;:!?，。、；：！？…·¡¿]")
@@ -56,20 +60,30 @@ KERNEL = (0.25, 0.5, 0.25)
 
 
 class Block:
-    __slots__ = ("elements", "furniture", "linked", "path", "text")
+    __slots__ = ("elements", "furniture", "linked", "marked", "path", "text")
 
-    def __init__(self, text, linked, path, elements, furniture):
-        self.text, self.linked, self.path, self.elements, self.furniture = text, linked, path, elements, furniture
+    def __init__(self, text, linked, path, elements, furniture, marked):
+        self.text, self.linked, self.path, self.elements, self.furniture, self.marked = text, linked, path, elements, furniture, marked
 
 
 def _marks(tag: str) -> list[str]:
     return [x for m in MARKS.finditer(tag) for x in re.split(r"[^a-z]+", next(g for g in m.groups() if g is not None).lower()) if x]
 
 
+def _is_furniture(tag: str) -> bool:
+    """Whether a whole word of class, id or role marks page furniture: all its parts do, but for shapes."""
+    for m in MARKS.finditer(tag):
+        for token in next(g for g in m.groups() if g is not None).lower().split():
+            parts = [x for x in re.split(r"[^a-z]+", token) if len(x) > 1 and x not in SHAPES]
+            if parts and all(x in FURNITURE_WORDS for x in parts):
+                return True
+    return False
+
+
 def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page in order. An element is (name, number, mark, whether it is page furniture)."""
+    """The blocks of a page in order. An element is (name, number, mark, whether it is page furniture, whether its marks say so)."""
     found: list[Block] = []
-    stack: list[tuple[str, int, str, bool]] = []
+    stack: list[tuple[str, int, str, bool, bool]] = []
     parts: list[str] = []
     linked = numbered = 0
 
@@ -80,7 +94,7 @@ def blocks_of(html: str) -> list[Block]:
             parts.clear()
             if text:
                 own = [e for e in stack if e[0] not in INLINE]
-                found.append(Block(text, min(linked, len(text)), "/".join(e[0] + e[2] for e in own), [(e[0], e[1]) for e in own], any(e[3] for e in stack)))
+                found.append(Block(text, min(linked, len(text)), "/".join(e[0] + e[2] for e in own), [(e[0], e[1]) for e in own], any(e[3] for e in stack), [(e[0], e[1]) for e in own if e[4]]))
         linked = 0
 
     def close(k):
@@ -116,8 +130,7 @@ def blocks_of(html: str) -> list[Block]:
                 flush()
         else:
             if name in INLINE:
-                marks = _marks(tag) if "=" in tag else []
-                stack.append((name, 0, "", any(x in FURNITURE_WORDS for x in marks) or bool(HIDDEN.search(tag))))
+                stack.append((name, 0, "", "=" in tag and _is_furniture(tag) or bool(HIDDEN.search(tag)), False))
                 continue
             flush()
             if name in CLOSES_PARAGRAPH:
@@ -141,8 +154,9 @@ def blocks_of(html: str) -> list[Block]:
             numbered += 1
             marks = _marks(tag) if "=" in tag else []
             inside = any(e[0] in CONTENT_TAGS for e in stack)
-            furniture = name in FURNITURE_TAGS or (name == "header" and not inside) or (name not in CONTENT_TAGS and name not in ("body", "html") and any(x in FURNITURE_WORDS for x in marks)) or bool(HIDDEN.search(tag))
-            stack.append((name, numbered, f".{marks[0]}" if marks else "", furniture))
+            furniture = (name in FURNITURE_TAGS and name not in AROUND) or (name == "header" and not inside) or bool(HIDDEN.search(tag))
+            marked = name in AROUND or ("=" in tag and name not in CONTENT_TAGS and name not in ("body", "html") and _is_furniture(tag))
+            stack.append((name, numbered, f".{marks[0]}" if marks else "", furniture, marked))
     if end < len(html):
         parts.append(unescape(html[end:]))
     flush()
@@ -173,9 +187,38 @@ def content_paths(blocks: list[Block]) -> set[str]:
     return {path for path, value in fused.items() if value > 0 and value >= THRESHOLD * top}
 
 
+def settle(blocks: list[Block]) -> None:
+    """Marked elements become furniture, but for those around the page's main article, or around all content but stray text."""
+    if not any(b.marked for b in blocks):
+        return
+    paths = content_paths(blocks)
+    content = [b for b in blocks if b.path in paths and not b.furniture]
+    weight: dict[tuple[str, int], int] = {}
+    for b in content:
+        for e in b.elements:
+            weight[e] = weight.get(e, 0) + len(b.text) - b.linked
+    total = sum(len(b.text) - b.linked for b in content)
+    around: set[tuple[str, int]] = set()
+    for b in content:
+        for k, e in enumerate(b.elements):
+            if e[0] in CONTENT_TAGS and weight[e] >= 0.5 * total:
+                around.update(b.elements[:k])
+    while True:
+        bare = [b for b in content if around.issuperset(b.marked)]
+        if any(e[0] in CONTENT_TAGS for b in bare for e in b.elements) or sum(len(b.text) - b.linked for b in bare) > (1 - HELD) * total:
+            break
+        outer = [next(e for e in b.marked if e not in around) for b in content if not around.issuperset(b.marked)]
+        if not outer:
+            break
+        around.add(max(outer, key=lambda e: weight[e]))
+    for b in blocks:
+        b.furniture = b.furniture or not around.issuperset(b.marked)
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks joined by newlines."""
     blocks = blocks_of(html or "")
+    settle(blocks)
     paths = content_paths(blocks)
     content = [b for b in blocks if b.path in paths and not b.furniture]
     if not content:
