@@ -69,3 +69,10 @@ def test_nulls_and_empty_table(spark):
     model = train(docs, F.lit(True))
     assert [r.lang_pred for r in identify(docs, model).collect()] == ["und"] * 3
     assert identify(docs.limit(0), model).count() == 0
+
+
+def test_more_languages_than_a_byte_holds():
+    first = np.array([0, 3, 5])
+    scores = np.full((5, 300), -5.0, np.float32)
+    scores[:3, 250] = scores[3:, 131] = 0
+    assert viterbi(scores, first, 6.0).tolist() == [250] * 3 + [131] * 2

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from tracewell.llm import packing as P
 from tracewell.llm.queries import op3_packing
@@ -18,8 +19,17 @@ def encoder():
     return P.Encoder(PATH)
 
 
+FRESH = Tokenizer.from_file(PATH)  # as the file has it, never the encoder's own
+
+
 def plain(encoder, text):
-    return encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    return FRESH.encode(text, add_special_tokens=False).ids
+
+
+def test_strings_of_added_tokens_are_those_tokens(encoder):
+    texts = ["a <|endoftext|> b", "plain", "<|endoftext|><|endoftext|>", "", "<|endoftext"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [plain(None, t) for t in texts]
+    assert encoder.encode(texts[:1])[0].tolist() == [64, 220, 50256, 275]
 
 
 def test_ids_are_the_tokenisers(encoder):

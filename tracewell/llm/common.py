@@ -1,9 +1,12 @@
-"""What the corpus operators share: reading tables, shared storage, bounded Arrow batches."""
+"""What the corpus operators share: reading tables, shared storage, bounded blocks of texts, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +38,32 @@ def materialise(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder name in the shared storage."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def blocks(texts: list[str], size: int) -> Iterator[tuple[int, list[str]]]:
+    """(place, texts) of runs of texts of at most ``size`` code points, or of one longer text."""
+    k = 0
+    while k < len(texts):
+        stop, held = k, 0
+        while stop < len(texts) and (stop == k or held + len(texts[stop]) < size):
+            held += len(texts[stop]) + 1
+            stop += 1
+        yield k, texts[k:stop]
+        k = stop
+
+
+def release() -> None:
+    """Hand a worker's unused memory back: workers live on after a task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, whose worker then hands its unused memory back."""
+    try:
+        yield from found
+    finally:
+        release()

@@ -14,6 +14,7 @@ an empty table gives no sequences; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import blocks, materialise, released
 
 BLOCK = 1 << 21
 #: Distinct pieces of text whose ids a worker keeps; beyond it the store is emptied and filled anew.
@@ -98,7 +99,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.number: dict[str, int] = {}
         self.sizes, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
@@ -111,7 +113,15 @@ class Encoder:
         self.ids = np.concatenate([self.ids, np.fromiter((x for row in got for x in row), np.uint32)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, little-endian unsigned 32-bit."""
+        """The ids of each text, little-endian unsigned 32-bit.
+
+        A text that holds an added token's string is encoded whole: it isn't split by the rule there.
+        """
+        if self.added and any(whole := [bool(self.added.search(t)) for t in texts]):
+            rest = iter(self.encode([t for t, w in zip(texts, whole, strict=True) if not w]))
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if w else next(rest) for t, w in zip(texts, whole, strict=True)]
+        if not texts:
+            return []
         pieces, counts = pieces_of_text(texts)
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
@@ -134,18 +144,6 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def blocks(texts: list[str]):
-    """Runs of texts of at most BLOCK code points, or of one longer text."""
-    k = 0
-    while k < len(texts):
-        stop, size = k, 0
-        while stop < len(texts) and (stop == k or size + len(texts[stop]) < BLOCK):
-            size += len(texts[stop]) + 1
-            stop += 1
-        yield texts[k:stop]
-        k = stop
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: full ones, and what is left over before them."""
     rest = n % capacity if n > capacity else n
@@ -163,8 +161,7 @@ def tokenise(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: i
         encoder, part, met = encoder_of(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            k = 0
-            for block in blocks(texts):
+            for k, block in blocks(texts, BLOCK):
                 out = []
                 for ids in encoder.encode(block):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -180,7 +177,7 @@ def tokenise(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint" + ", ids array<int>" * with_ids
-    return materialise(documents.select("doc_id", "text").mapInArrow(run, schema))
+    return materialise(documents.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), schema))
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
