@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*[df[f"`{c}`"] for c in columns]) if columns else df
 
 
+def col(name: str, of: str | None = None) -> Column:
+    """A column by its whole name, dots and backticks included, optionally of an aliased table or a struct."""
+    quoted = f"`{name.replace('`', '``')}`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

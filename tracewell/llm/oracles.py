@@ -7,15 +7,15 @@ WITH item AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 grams AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k,
             array_to_string(list_slice(ws, i, i + least(len(ws), 10) - 1), ' ') AS gram
           FROM item, range(1, len(ws) - least(len(ws), 10) + 2) r(i) WHERE len(ws) > 0),
-doc AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-probe AS (SELECT doc_id, i AS place, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS gram
-          FROM doc, (SELECT DISTINCT k FROM grams) ks, range(1, len(ws) - k + 2) r(i)),
-hit AS (SELECT doc_id, place, k, item_id FROM probe JOIN grams USING (k, gram)),
-hit_words AS (SELECT doc_id, count(DISTINCT place + j) AS n_hit FROM (SELECT DISTINCT doc_id, place, k FROM hit), range(0, k) r(j) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+probe AS (SELECT r, i AS place, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS gram
+          FROM doc, (SELECT DISTINCT k FROM grams) ks, range(1, len(ws) - k + 2) x(i)),
+hit AS (SELECT r, place, k, item_id FROM probe JOIN grams USING (k, gram)),
+hit_words AS (SELECT r, count(DISTINCT place + j) AS n_hit FROM (SELECT DISTINCT r, place, k FROM hit), range(0, k) x(j) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) + max(CAST(item_id IS NULL AS INT)) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+FROM doc LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
 """
 
 OP9 = """
