@@ -1,3 +1,9 @@
+import random
+import time
+
+from pyspark.sql import Row
+
+from tracewell.llm import htmltext as H
 from tracewell.llm.htmltext import main_text
 from tracewell.llm.queries import op4_html
 
@@ -57,3 +63,59 @@ def test_marks_around_the_article_are_not_furniture():
         assert main_text(f"<body>{start}<article>{body}</article>{rest}{end}</body>") == want
         assert main_text(f"<body>{start}<div>{body}</div>{rest}{end}</body>") == want
     assert main_text(f"<body><section class='popular-science'>{body}</section>{rest}</body>") == want
+
+
+def test_marks_are_weak_next_to_what_they_hold():
+    body = "".join(f"<p>{P} {k}</p>" for k in range(6))
+    want = "\n".join(f"{P} {k}" for k in range(6))
+    assert main_text(f"<body><div class='popular-science'>{body}</div></body>") == want
+    assert main_text(f"<body><article><div class='tags-list'>{body}</div></article></body>") == want
+    assert main_text(f"<body><p>Stray.</p><div class='notice'>{body}</div><div class='ad'><p>{P}</p></div></body>").endswith(want)
+
+
+def test_hostile_markup_takes_linear_time():
+    for piece in ("<a ", "<div>", "<div>x", "<a \">\" ", "<a b='>", "<p><b>", "<div class=ad>x", "</x><y>", "<!--", "<script>", "<ul><li>x", "<", "&amp", "<b></i>"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.perf_counter()
+        main_text(page)
+        main_text(page + "'>")
+        assert time.perf_counter() - began < 20, piece
+
+
+def plain_paths(blocks):
+    """The paths of content by the definition, a block (path, text, linked, weight) at a time."""
+    def ratio(path, measure):
+        of = [b for b in blocks if b[0] == path]
+        return sum(measure(b) for b in of if b[3]) / len(of)
+
+    unlinked = lambda b: len(b[1]) - b[2]
+    marks = lambda b: len(H.PUNCTUATION.findall(b[1])) * (1 - b[2] / len(b[1]))
+    score = {}
+    for path in {b[0] for b in blocks if b[3]}:
+        values = []
+        for i, b in enumerate(blocks):
+            if b[0] == path and b[3]:
+                near = [blocks[max(i - 1, 0)], b, blocks[min(i + 1, len(blocks) - 1)]]
+                t, m = (sum(w * ratio(x[0], f) for w, x in zip(H.KERNEL, near, strict=True)) for f in (unlinked, marks))
+                values.append(b[3] * (t * (1 + m)) ** 0.5)
+        score[path] = sum(values) / sum(b[0] == path for b in blocks)
+    top = max(score.values(), default=0)
+    return {p for p, s in score.items() if s > 0 and s >= H.THRESHOLD * top}
+
+
+def test_paths_are_those_of_the_definition():
+    rng = random.Random(8)
+    for _ in range(150):
+        blocks = []
+        for _ in range(rng.randint(1, 15)):
+            text = "".join(rng.choices("ab ,.;", k=rng.randint(1, 60)))
+            blocks.append((rng.randint(0, 4), text, rng.randint(0, len(text)), rng.choice([0.0, 0.02, 1.0, 1.0])))
+        assert H.content_paths(*map(list, zip(*blocks, strict=True))) == plain_paths(blocks)
+
+
+def test_rows_repeat_columns_clash_and_tables_are_empty(spark):
+    rows = [(1, "u", f"<p>{P}</p>", "x"), (1, "u", f"<p>{P}</p>", "x"), (2, None, None, "y"), (None, "", "", "z")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = sorted(map(str, H.extract(pages).collect()))
+    assert got == sorted(map(str, [Row(page_id=a, url=b, text=main_text(h), n_chars=len(main_text(h))) for a, b, h, _ in rows]))
+    assert H.extract(pages.limit(0)).count() == 0

@@ -2,23 +2,31 @@
 
 A page becomes blocks of text, each with its root-to-leaf tag path. Text length and punctuation are summed per
 path and divided by its blocks, smoothed over the page's order, fused by their product and held against a threshold; the
-paths above it are content. Content belongs to the text wherever it stands; in the smallest container that holds nearly all of it, or in
-article and main elements that hold some, so does every block that isn't marked as page furniture, headings and short paragraphs too.
+blocks of the paths above it are content. Class names and forms are a weak feature: they scale a path's fused ratio down, unless they stand
+around the content itself. Headings, short paragraphs and lists of the article have low ratios of their own: in the smallest container that holds nearly
+all content, or in article and main elements that hold some, they belong to it unless they are links or marked.
+
+Tokens and the element tree are made in one pass; work is linear in the page, also for markup that is left open or nested without end.
 
 Defined results: null and empty html, and pages of markup alone, give an empty text; repeated rows are extracted
-each; unclosed and misnested markup is read as browsers do; an empty table gives no rows; other columns are ignored.
+each; unclosed and misnested markup is read as browsers do (a tag cut off by the page's end is dropped); pages of any length are read whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released
+
 #: Elements by their part in a page.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|title|canvas|video|audio"
+RAW = frozenset("script style noscript template svg math iframe object textarea title canvas video audio".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
@@ -45,34 +53,67 @@ AROUND = frozenset(("form", "fieldset"))
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div body td center html blockquote figure".split())
 PUNCTUATION = re.compile(r"[.,;:!?，。、；：！？…·¡¿]")
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-z][^>]*>|<[!?/][^>]*>", re.I | re.S
-)
-NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
+#: A tag; quotes count only after an equals sign. Possessive, so it never looks at a place twice.
+TAG = re.compile(r"<(/?)([a-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>", re.I)
+LOOSE_TAG = re.compile(r"<(/?)([a-z][^\s/>]*+)([^>]*+)>", re.I)
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: A path is content if its fused ratio reaches this share of the page's highest.
-THRESHOLD = 0.12
+HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: A path is content if its fused ratio reaches this share of the page's highest; marks scale a ratio by that much.
+THRESHOLD, MARKED = 0.12, 0.02
 #: The article's container holds this share of the content's characters.
 HELD = 0.85
 #: Weights of a block and its neighbours on either side.
 KERNEL = (0.25, 0.5, 0.25)
+#: Elements nested deeper are siblings at this depth, as in browsers.
+DEPTH = 512
+
 
+class Block(NamedTuple):
+    text: str
+    linked: int
+    node: int
 
-class Block:
-    __slots__ = ("elements", "furniture", "linked", "marked", "path", "text")
 
-    def __init__(self, text, linked, path, elements, furniture, marked):
-        self.text, self.linked, self.path, self.elements, self.furniture, self.marked = text, linked, path, elements, furniture, marked
+class Page:
+    """The element tree in page order (a parent's number is below its children's) and the blocks of text."""
 
+    def __init__(self):
+        self.names, self.parents, self.paths = [""], [-1], [0]
+        self.vetoed, self.marked = [False], [False]
+        #: The nearest marked element and the outermost article or main at or around each, or -1.
+        self.under, self.content = [-1], [-1]
+        self.numbers: dict[tuple[int, str, str], int] = {}
+        self.blocks: list[Block] = []
 
-def _marks(tag: str) -> list[str]:
-    return [x for m in MARKS.finditer(tag) for x in re.split(r"[^a-z]+", next(g for g in m.groups() if g is not None).lower()) if x]
+    def add(self, parent: int, name: str, mark: str, vetoed: bool, marked: bool) -> int:
+        k = len(self.names)
+        self.names.append(name)
+        self.parents.append(parent)
+        self.paths.append(self.numbers.setdefault((self.paths[parent], name, mark), len(self.numbers) + 1))
+        self.vetoed.append(vetoed or self.vetoed[parent])
+        self.marked.append(marked)
+        self.under.append(k if marked else self.under[parent])
+        self.content.append(self.content[parent] if self.content[parent] >= 0 else k if name in CONTENT_TAGS else -1)
+        return k
 
+    def sums(self, values: dict[int, int]) -> list[int]:
+        """Values of elements, each with all below it."""
+        found = [0] * len(self.names)
+        for k, v in values.items():
+            found[k] = v
+        for k in range(len(found) - 1, 0, -1):
+            found[self.parents[k]] += found[k]
+        return found
 
-def _is_furniture(tag: str) -> bool:
+
+def _marks(attributes: str) -> list[str]:
+    return [x for m in MARKS.finditer(attributes) for x in re.split(r"[^a-z]+", next(g for g in m.groups() if g is not None).lower()) if x]
+
+
+def _is_furniture(attributes: str) -> bool:
     """Whether a whole word of class, id or role marks page furniture: all its parts do, but for shapes."""
-    for m in MARKS.finditer(tag):
+    for m in MARKS.finditer(attributes):
         for token in next(g for g in m.groups() if g is not None).lower().split():
             parts = [x for x in re.split(r"[^a-z]+", token) if len(x) > 1 and x not in SHAPES]
             if parts and all(x in FURNITURE_WORDS for x in parts):
@@ -80,12 +121,50 @@ def _is_furniture(tag: str) -> bool:
     return False
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page in order. An element is (name, number, mark, whether it is page furniture, whether its marks say so)."""
-    found: list[Block] = []
-    stack: list[tuple[str, int, str, bool, bool]] = []
+def tokens(html: str):
+    """(text, closes, name, attributes) in order: a text, or a tag with its name in lower case."""
+    at, tag = 0, TAG
+    while (lt := html.find("<", at)) >= 0:
+        if lt > at:
+            yield html[at:lt], False, "", ""
+        after = html[lt + 1 : lt + 3]
+        if not re.match("/?[a-zA-Z]", after):
+            if after[:1] not in ("!", "?", "/"):
+                yield "<", False, "", ""
+                at = lt + 1
+                continue
+            comment = html.startswith("<!--", lt) and not html.startswith(("<!-->", "<!--->"), lt)
+            end = html.find("-->" if comment else ">", lt + 4 * comment)
+            if end < 0:
+                return
+            at = end + (3 if comment else 1)
+            continue
+        m = tag.match(html, lt)
+        if not m:  # a quote is left open to the end: from here on quotes are nothing
+            tag = LOOSE_TAG
+            if not (m := tag.match(html, lt)):
+                return
+        at, name = m.end(), m[2].lower()
+        if name in RAW and not m[1] and not (name in ("svg", "math") and m[3].endswith("/")):
+            if not (end := ENDS[name].search(html, at)):
+                return
+            close = html.find(">", end.end())
+            if close < 0:
+                return
+            at = close + 1
+            continue
+        yield "", bool(m[1]), name, m[3]
+    if at < len(html):
+        yield html[at:], False, "", ""
+
+
+def parse(html: str) -> Page:
+    page = Page()
+    stack: list[tuple[str, int]] = []  # open block elements; those beyond DEPTH share a parent
+    places: dict[str, list[int]] = {}  # of open elements by name
     parts: list[str] = []
-    linked = numbered = 0
+    linked = links = 0
+    hidden = ""  # the inline element whose text isn't shown
 
     def flush():
         nonlocal linked
@@ -93,74 +172,63 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                own = [e for e in stack if e[0] not in INLINE]
-                found.append(Block(text, min(linked, len(text)), "/".join(e[0] + e[2] for e in own), [(e[0], e[1]) for e in own], any(e[3] for e in stack), [(e[0], e[1]) for e in own if e[4]]))
+                page.blocks.append(Block(text, min(linked, len(text)), stack[-1][1] if stack else 0))
         linked = 0
 
     def close(k):
+        nonlocal links, hidden
         flush()
-        del stack[k:]
-
-    end = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > end:
-            text = unescape(html[end : m.start()])
-            parts.append(text)
-            if any(e[0] == "a" for e in stack):
-                linked += len(text.strip())
-        end = m.end()
-        tag = m[0]
-        if m[1] or tag.startswith(("<!", "<?")) or not (name := NAME.match(tag)):
-            continue
-        name = name[1].lower()
-        if name == "br":
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+        links, hidden = 0, ""
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
+    for text, closes, name, attributes in tokens(html):
+        if not name:
+            if not hidden:
+                parts.append(unescape(text))
+                if links:
+                    linked += len(parts[-1].strip())
+        elif name == "br":
             parts.append(" ")
-        elif tag[1] == "/":
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if at is None:
-                if name == "p":
-                    flush()
-            elif name in INLINE:
-                if all(e[0] in INLINE for e in stack[at:]):
-                    del stack[at]
-            else:
-                close(at)
+        elif closes:
+            if name in INLINE:
+                links -= name == "a" and links > 0
+                hidden = "" if name == hidden else hidden
+            elif places.get(name):
+                close(places[name][-1])
+            elif name == "p":
+                flush()
         elif name in VOID:
             if name == "hr":
                 flush()
+        elif name in INLINE:
+            links += name == "a"
+            if not hidden and attributes and HIDDEN.search(attributes):
+                hidden = name
         else:
-            if name in INLINE:
-                stack.append((name, 0, "", "=" in tag and _is_furniture(tag) or bool(HIDDEN.search(tag)), False))
-                continue
             flush()
-            if name in CLOSES_PARAGRAPH:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+            links, hidden = 0, ""
+            if name in CLOSES_PARAGRAPH and stack and stack[-1][0] == "p":
+                close(len(stack) - 1)
             if name in SIBLINGS:
                 ends, stops = SIBLINGS[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        close(k)
-                        if name not in ("tr",):
-                            break
-                    elif k < len(stack) and stack[k][0] in stops:
+                stop = last(stops)
+                while (k := last(ends)) > stop:
+                    close(k)
+                    if name != "tr":
                         break
-            while stack and stack[-1][0] in INLINE:  # an inline element left open doesn't reach past its block
-                stack.pop()
-            numbered += 1
-            marks = _marks(tag) if "=" in tag else []
-            inside = any(e[0] in CONTENT_TAGS for e in stack)
-            furniture = (name in FURNITURE_TAGS and name not in AROUND) or (name == "header" and not inside) or bool(HIDDEN.search(tag))
-            marked = name in AROUND or ("=" in tag and name not in CONTENT_TAGS and name not in ("body", "html") and _is_furniture(tag))
-            stack.append((name, numbered, f".{marks[0]}" if marks else "", furniture, marked))
-    if end < len(html):
-        parts.append(unescape(html[end:]))
+            parent = stack[min(len(stack), DEPTH) - 1][1] if stack else 0
+            has = "=" in attributes
+            marks = _marks(attributes) if has else []
+            vetoed = (name in FURNITURE_TAGS and name not in AROUND) or (name == "header" and page.content[parent] < 0) or bool(attributes and HIDDEN.search(attributes))
+            marked = name in AROUND or (has and name not in CONTENT_TAGS and name not in ("body", "html") and _is_furniture(attributes))
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, page.add(parent, name, marks[0] if marks else "", vetoed, marked)))
     flush()
-    return found
+    return page
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -168,84 +236,106 @@ def _smooth(values: list[float]) -> list[float]:
     return [sum(w * values[min(max(i + k - 1, 0), n - 1)] for k, w in enumerate(KERNEL)) for i in range(n)]
 
 
-def content_paths(blocks: list[Block]) -> set[str]:
-    """The paths whose smoothed and fused ratios of text and punctuation are high enough."""
-    sums: dict[str, list[float]] = {}
-    for b in blocks:
-        s = sums.setdefault(b.path, [0, 0.0, 0.0])
+def content_paths(paths: list[int], texts: list[str], linked: list[int], weights: list[float]) -> set[int]:
+    """The paths whose smoothed and fused ratios of text and punctuation are high enough, given the blocks in order and what each one's ratio is scaled by."""
+    sums: dict[int, list[float]] = {}
+    for path, text, n, w in zip(paths, texts, linked, weights, strict=True):
+        s = sums.setdefault(path, [0, 0.0, 0.0])
         s[0] += 1
-        if not b.furniture:
-            s[1] += len(b.text) - b.linked
-            s[2] += len(PUNCTUATION.findall(b.text)) * (1 - b.linked / len(b.text))
-    text = _smooth([sums[b.path][1] / sums[b.path][0] for b in blocks])
-    marks = _smooth([sums[b.path][2] / sums[b.path][0] for b in blocks])
-    fused: dict[str, float] = {}
-    for b, t, p in zip(blocks, text, marks, strict=True):
-        if not b.furniture:
-            fused[b.path] = fused.get(b.path, 0.0) + (t * (1 + p)) ** 0.5 / sums[b.path][0]
+        if w:
+            s[1] += len(text) - n
+            s[2] += len(PUNCTUATION.findall(text)) * (1 - n / len(text))
+    text = _smooth([sums[p][1] / sums[p][0] for p in paths])
+    marks = _smooth([sums[p][2] / sums[p][0] for p in paths])
+    fused: dict[int, float] = {}
+    for path, t, m, w in zip(paths, text, marks, weights, strict=True):
+        if w:
+            fused[path] = fused.get(path, 0.0) + w * (t * (1 + m)) ** 0.5 / sums[path][0]
     top = max(fused.values(), default=0.0)
     return {path for path, value in fused.items() if value > 0 and value >= THRESHOLD * top}
 
 
-def settle(blocks: list[Block]) -> None:
-    """Marked elements become furniture, but for those around the page's main article, or around all content but stray text."""
-    if not any(b.marked for b in blocks):
-        return
-    paths = content_paths(blocks)
-    content = [b for b in blocks if b.path in paths and not b.furniture]
-    weight: dict[tuple[str, int], int] = {}
+def selected(page: Page, weights: list[float]) -> set[int]:
+    return content_paths([page.paths[b.node] for b in page.blocks], [b.text for b in page.blocks], [b.linked for b in page.blocks], weights)
+
+
+def _own(page: Page, content: list[Block], weigh=lambda b: len(b.text) - b.linked) -> dict[int, int]:
+    found: dict[int, int] = {}
     for b in content:
-        for e in b.elements:
-            weight[e] = weight.get(e, 0) + len(b.text) - b.linked
-    total = sum(len(b.text) - b.linked for b in content)
-    around: set[tuple[str, int]] = set()
+        found[b.node] = found.get(b.node, 0) + weigh(b)
+    return found
+
+
+def around(page: Page) -> set[int]:
+    """Marked elements that stand around the page's main article, or around all content but stray text: their marks say nothing."""
+    paths = selected(page, [0.0 if page.vetoed[b.node] else 1.0 for b in page.blocks])
+    content = [b for b in page.blocks if page.paths[b.node] in paths and not page.vetoed[b.node]]
+    own = _own(page, content)
+    weight = page.sums(own)
+    free: set[int] = set()
+    holds = [0] * len(page.names)  # whether a main article lies below
+    for k in range(len(holds) - 1, 0, -1):
+        if holds[k] or (page.names[k] in CONTENT_TAGS and weight[k] >= 0.5 * weight[0] and own):
+            holds[page.parents[k]] = 1
+    bare: dict[int, int] = {}  # content by the nearest marked element
+    inside: set[int] = set()  # marked elements with content in an article that is not marked further
     for b in content:
-        for k, e in enumerate(b.elements):
-            if e[0] in CONTENT_TAGS and weight[e] >= 0.5 * total:
-                around.update(b.elements[:k])
+        k = page.under[b.node]
+        bare[k] = bare.get(k, 0) + len(b.text) - b.linked
+        if page.content[b.node] >= 0:
+            inside.add(k)
+    below: dict[int, list[int]] = {}
+    for k in range(1, len(page.names)):
+        if page.marked[k]:
+            below.setdefault(page.under[page.parents[k]], []).append(k)
+    seen, done, queue, opened = 0, False, [], [-1]
     while True:
-        bare = [b for b in content if around.issuperset(b.marked)]
-        if any(e[0] in CONTENT_TAGS for b in bare for e in b.elements) or sum(len(b.text) - b.linked for b in bare) > (1 - HELD) * total:
-            break
-        outer = [next(e for e in b.marked if e not in around) for b in content if not around.issuperset(b.marked)]
-        if not outer:
-            break
-        around.add(max(outer, key=lambda e: weight[e]))
-    for b in blocks:
-        b.furniture = b.furniture or not around.issuperset(b.marked)
+        while opened:  # what is not marked, or marked in vain
+            k = opened.pop()
+            seen += bare.get(k, 0)
+            done = done or k in inside
+            for x in below.get(k, ()):
+                if holds[x]:
+                    free.add(x)
+                    opened.append(x)
+                elif weight[x]:
+                    heapq.heappush(queue, (-weight[x], x))
+        if done or not queue or seen > (1 - HELD) * weight[0]:
+            return free
+        k = heapq.heappop(queue)[1]
+        free.add(k)
+        opened.append(k)
 
 
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks joined by newlines."""
-    blocks = blocks_of(html or "")
-    settle(blocks)
-    paths = content_paths(blocks)
-    content = [b for b in blocks if b.path in paths and not b.furniture]
+    page = parse(html or "")
+    free = around(page) if any(page.marked) else set()
+    furniture = [False] * len(page.names)
+    for k in range(1, len(furniture)):
+        furniture[k] = furniture[page.parents[k]] or (page.marked[k] and k not in free)
+    paths = selected(page, [0.0 if page.vetoed[b.node] else MARKED if furniture[b.node] else 1.0 for b in page.blocks])
+    chosen = [page.paths[b.node] in paths and not page.vetoed[b.node] for b in page.blocks]
+    content = [b for b, c in zip(page.blocks, chosen, strict=True) if c]
     if not content:
         return ""
-    weight: dict[tuple[str, int], int] = {}
-    depth: dict[tuple[str, int], int] = {}
-    for b in content:
-        for k, e in enumerate(b.elements):
-            weight[e] = weight.get(e, 0) + len(b.text) - b.linked
-            depth[e] = k
-    total = sum(len(b.text) - b.linked for b in content)
-    holders = [e for e in weight if e[0] in CONTAINERS and weight[e] >= HELD * total]
-    semantic = [e for e in weight if e[0] in CONTENT_TAGS and weight[e] >= 0.5 * total]
-    if semantic:
-        parts = {e for e in weight if e[0] in CONTENT_TAGS}
-        return "\n".join(b.text for b in blocks if not b.furniture and (b.path in paths or not parts.isdisjoint(b.elements)))
-    box = max(holders, key=lambda e: depth[e], default=None)
-    first = next(i for i, b in enumerate(blocks) if b is content[0])
-    chosen = []
-    for i, b in enumerate(blocks):
-        heading = b.elements and re.fullmatch("h[1-6]", b.elements[-1][0])
-        inside = box is None or box in b.elements
-        if b.furniture or not (inside or b.path in paths or (heading and b.elements[-1][0] == "h1" and i < first)):
-            continue
-        if b.path in paths or heading or (inside and b.linked < 0.5 * len(b.text)):
-            chosen.append(b.text)
-    return "\n".join(chosen)
+    weight = page.sums(_own(page, content))
+    semantic = any(page.names[k] in CONTENT_TAGS and weight[k] >= 0.5 * weight[0] for k in range(1, len(weight)))
+    box = next((k for k in range(len(weight) - 1, 0, -1) if page.names[k] in CONTAINERS and weight[k] >= HELD * weight[0]), 0)
+    end = page.sums({k: 1 for k in range(len(weight))})[box] + box  # the box is the elements from its number to this
+    first, kept = chosen.index(True), []
+    for i, (b, c) in enumerate(zip(page.blocks, chosen, strict=True)):
+        if not c and not page.vetoed[b.node] and not furniture[b.node]:
+            heading = re.fullmatch("h[1-6]", page.names[b.node])
+            if semantic:
+                c = page.content[b.node] >= 0 and weight[page.content[b.node]] > 0
+            elif box <= b.node < end:
+                c = bool(heading) or b.linked < 0.5 * len(b.text)
+            else:
+                c = page.names[b.node] == "h1" and i < first
+        if c:
+            kept.append(b.text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -257,4 +347,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(lambda batches: released(run(batches)), f"page_id {kind}, url string, text string, n_chars bigint")
