@@ -114,3 +114,47 @@ def test_similar_groups_leave_no_similar_pair_of_a_large_component(spark, monkey
             else:
                 want[d] = lead
         assert len(kept) == 12 and got == want
+
+
+def test_any_number_of_blocks_finds_all_links(spark):
+    from tracewell.llm import simhash
+
+    assert [simhash.blocks_for(n, 4) for n in (0, 1 << 20, 1 << 28, 1 << 33, 1 << 36)] == [6, 6, 7, 7, 8]
+    rng = random.Random(3)
+    fps = []
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        fps += [base, base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))]
+    fps = sorted(set(fps))
+    classes = spark.createDataFrame([(f - (f >> 63 << 64), i) for i, f in enumerate(fps)], "fp bigint, rep bigint")
+    want = slow_components(dict(enumerate(fps)), 4)
+    for blocks in (6, 8, 9):
+        comps = {r.node: r.component for r in connected_components(simhash.close_links(classes, 4, blocks)).collect()}
+        assert {i: comps.get(i, i) for i in range(len(fps))} == want
+
+
+def test_pairs_at_the_least_similarity_are_met(spark):
+    from tracewell.llm.simhash import shingles, similar_groups, wide_key_shape
+
+    assert wide_key_shape(1000, 0.8)[0] == 4 < wide_key_shape(1 << 30, 0.8)[0]
+    assert wide_key_shape(1000, 0.8)[1] < 90 and wide_key_shape(1000, 0.95)[1] < 20
+    rng, texts = random.Random(12), []
+    vocabulary = ["w%d" % i for i in range(9000)]
+    for _ in range(150):  # a run of new words at the end, so that about 0.81 of the shingles stay
+        base = rng.choices(vocabulary, k=300)
+        texts += [" ".join(base), " ".join(base[:270] + rng.choices(vocabulary, k=28))]
+    pairs = [k for k in range(0, 300, 2) if len(shingles(texts[k], 5) & shingles(texts[k + 1], 5)) >= 0.8 * len(shingles(texts[k], 5) | shingles(texts[k + 1], 5))]
+    dropped = {r.doc_id for r in similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert len(pairs) > 100 and sum(k + 1 in dropped for k in pairs) >= 0.93 * len(pairs)
+
+
+def test_rows_without_an_id_and_very_long_texts(spark):
+    from tracewell.llm.simhash import similar_groups
+
+    long = " ".join("w%d" % (i * 7919 % 100_003) for i in range(150_000))
+    rows = [(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (4, long), (5, long + " x")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.leader for r in similar_groups(frame).collect() if r.doc_id is not None}.items() >= {5: 4}.items()
+    got = near_duplicates(frame).collect()
+    assert len(got) == 6 and {r.component_id for r in got if r.doc_id is None} <= {3}
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id == 5} == {(5, 4)}

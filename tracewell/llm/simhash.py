@@ -1,17 +1,19 @@
 """SimHash near-duplicates: 64-bit fingerprints, pigeonhole blocks, verified Hamming distance.
 
-Fingerprints that differ in at most ``max_bits`` of 64 bits agree on at least
-``BLOCKS - max_bits`` of the blocks, so every close pair shares the key made of some
-two blocks. Distinct fingerprints are dealt by those keys; within a key all pairs are compared
+Fingerprints that differ in at most ``max_bits`` of 64 bits agree on all but ``max_bits`` of any number of blocks, so every close pair shares the key made
+of some of the blocks. More blocks make longer keys, and more of them: their number is chosen by the counted distinct fingerprints, so that few share a key by
+chance at any size. Distinct fingerprints are dealt by those keys; within a key all pairs are compared
 in numpy blocks and only a spanning forest of the links leaves the task.
 
-Defined results: null and wordless texts have fingerprint zero, which links like any other;
-repeated texts fall into one class, by its smallest id; an empty table gives an empty result.
+Defined results: null, empty and wordless texts have fingerprint zero, which links like any other; texts of any length are read whole;
+repeated texts fall into one class, by its smallest id; doc_id is read as a 64-bit integer, rows that share one have a row each, and a null one is
+nobody's component while another id is there; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,35 +21,42 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, released
 from .components import connected_components, roots
 
-BLOCKS, SHARED = 6, 2
-#: Bits of the six blocks.
-WIDTHS = (11, 11, 11, 11, 10, 10)
+#: Distinct fingerprints that may share a key by chance, on average; blocks at most.
+PER_KEY, MOST_BLOCKS = 64, 12
 #: A key with more distinct fingerprints than this is compared in pairs of chunks of this size, by several tasks.
 CHUNK = 4096
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int, seed: int) -> int:
-    """The fingerprint of a text as an unsigned integer."""
+def majority(text: str | None, shingle: int, digest, bits: int, distinct: bool) -> bytes:
+    """The bits that are set in over half the digests of a text's shingles; no bit for a text without words."""
     buf = b" ".join((text or "").encode("utf-8", "replace").lower().split())
     if not buf:
-        return 0
+        return bytes(bits // 8)
     gaps = np.flatnonzero(np.frombuffer(buf, np.uint8) == 0x20)
     n = len(gaps) + 1
     if n <= shingle:
-        return xxhash.xxh64_intdigest(buf, seed)
+        return digest(buf)
     starts = [0, *(gaps[: n - shingle] + 1).tolist()]
     ends = [*gaps[shingle - 1 :].tolist(), len(buf)]
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    found, counts, total = set(), np.zeros(bits, np.int64), 0
     for lo in range(0, len(starts), AT_ONCE):
-        joined = b"".join([digest(buf[s:e], seed) for s, e in zip(starts[lo : lo + AT_ONCE], ends[lo : lo + AT_ONCE], strict=True)])
-        bits = np.unpackbits(np.frombuffer(joined, np.uint8)).reshape(-1, 64)
-        counts += bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
+        mine = [digest(buf[s:e]) for s, e in zip(starts[lo : lo + AT_ONCE], ends[lo : lo + AT_ONCE], strict=True)]
+        if distinct:
+            mine = set(mine) - found
+            found |= mine
+        total += len(mine)
+        counts += np.unpackbits(np.frombuffer(b"".join(mine), np.uint8)).reshape(-1, bits).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > total).tobytes()
+
+
+def fingerprint(text: str | None, shingle: int, seed: int) -> int:
+    """The fingerprint of a text as an unsigned integer."""
+    return int.from_bytes(majority(text, shingle, lambda x: xxhash.xxh64_digest(x, seed), 64, False), "big")
 
 
 def fingerprints(documents: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
@@ -58,17 +67,27 @@ def fingerprints(documents: DataFrame, shingle: int, seed: int = 42) -> DataFram
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, fp bigint")
 
 
-def _keys():
-    """An array of the block-pair keys of column fp: the pair's number, then the bits of both blocks."""
-    cuts = np.cumsum([0, *WIDTHS])
-    block = [F.shiftrightunsigned("fp", int(cuts[i])).bitwiseAND(F.lit((1 << WIDTHS[i]) - 1)) for i in range(BLOCKS)]
-    return F.array(*[
-        F.lit(k << 40).bitwiseOR(F.shiftleft(block[i], 20)).bitwiseOR(block[j])
-        for k, (i, j) in enumerate(combinations(range(BLOCKS), SHARED))
-    ])
+def blocks_for(n: int, max_bits: int) -> int:
+    """The number of blocks for n distinct fingerprints: the least whose keys few of them share by chance."""
+    fits = (b for b in range(max_bits + 2, MOST_BLOCKS + 1) if n >> 64 * (b - max_bits) // b <= PER_KEY)
+    return max(6 if max_bits == 4 else max_bits + 2, next(fits, MOST_BLOCKS))
+
+
+def _keys(blocks: int, shared: int):
+    """An array of the keys of column fp: the number of a choice of blocks, then the bits of those blocks."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(blocks), shared)):
+        key, at = F.lit(k << 48), 0
+        for i in chosen:
+            width = cuts[i + 1] - cuts[i]
+            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << width) - 1)), at))
+            at += width
+        keys.append(key)
+    return F.array(*keys)
 
 
 def forest(fps: np.ndarray, reps: np.ndarray, max_bits: int):
@@ -110,9 +129,10 @@ def links_in_groups(batches, max_bits: int):
         yield links(rest, [len(rest[0])])
 
 
-def close_links(classes: DataFrame, max_bits: int) -> DataFrame:
+def close_links(classes: DataFrame, max_bits: int, blocks: int | None = None) -> DataFrame:
     """(u, v): links that join all fingerprints of ``classes`` (fp, rep) within max_bits into their components."""
-    keyed = classes.select("fp", "rep", F.explode(_keys()).alias("key"))
+    blocks = blocks or blocks_for(classes.count(), max_bits)
+    keyed = classes.select("fp", "rep", F.explode(_keys(blocks, blocks - max_bits)).alias("key"))
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "k")
     met = keyed.join(size, F.col("key") == F.col("k")).select("fp", "rep", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -125,8 +145,8 @@ def close_links(classes: DataFrame, max_bits: int) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, max_bits: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): each document's fingerprint and the smallest id reachable by links."""
-    if max_bits > BLOCKS - SHARED:
-        raise ValueError(f"at most {BLOCKS - SHARED} differing bits are covered by {BLOCKS} blocks")
+    if not 1 <= max_bits <= 8:
+        raise ValueError("1 to 8 differing bits can be covered by blocks")
     prints = materialise(fingerprints(documents, shingle, seed))
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     comps = connected_components(close_links(classes, max_bits))
@@ -136,35 +156,61 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, max_bits: int = 4, s
     return prints.join(placed, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
 
-#: The wide fingerprints of ``similar_groups``: bits, and keys of KEY_BLOCKS blocks of 4 bits each.
-WIDE_BITS, WIDE_SEEDS, WIDE_KEYS, KEY_BLOCKS = 128, (42, 43), 64, 4
+#: The wide fingerprints of ``similar_groups``: bits, bits of a block, the share of pairs at just the least similarity that have a common key.
+WIDE_BITS, WIDE_BLOCK, WIDE_RECALL = 128, 4, 0.95
+#: Standard deviations by which the differing bits of a pair at the least similarity may exceed their mean.
+SPREAD = 3.0
 #: Leaders of a component in a round of ``similar_groups`` and the characters of their texts at most; members compared by one task.
 LEADERS, LEADERS_CHARS, MEMBERS = 512, 1 << 23, 2048
 
 
+def differing(similarity: float) -> float:
+    """The share of fingerprint bits that differ on average between two sets of such a Jaccard similarity: their angle over a half turn."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def most_differing(similarity: float) -> int:
+    """The bits of a wide fingerprint in which a pair of that similarity differs at most, but for a few in a thousand."""
+    p = differing(similarity)
+    return int(WIDE_BITS * p + SPREAD * (WIDE_BITS * p * (1 - p)) ** 0.5)
+
+
+def wide_key_shape(n: int, similarity: float) -> tuple[int, int]:
+    """(blocks of a key, keys) for n distinct fingerprints: few share a key by chance, and WIDE_RECALL of the pairs of just that similarity share one.
+
+    Differing bits are binomial; a pair that differs in d of them misses a key unless all d lie elsewhere. More similar pairs are missed less.
+    """
+    blocks = max(4, -(-max(0, (n // PER_KEY).bit_length()) // WIDE_BLOCK))
+    p, bits = differing(similarity), WIDE_BLOCK * blocks
+    shares = [(comb(WIDE_BITS, d) * p**d * (1 - p) ** (WIDE_BITS - d), comb(WIDE_BITS - bits, d) / comb(WIDE_BITS, d)) for d in range(most_differing(similarity) + 1)]
+    keys = 1
+    while sum(w * (1 - (1 - q) ** keys) for w, q in shares) < WIDE_RECALL:
+        keys += 1 + keys // 16
+    return blocks, keys
+
+
 def wide_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, a, b): 128 bits of fingerprint as two signed integers."""
+    """(doc_id, a, b): 128 bits of fingerprint of the distinct shingles as two signed integers."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            halves = [pa.array(np.array([fingerprint(t, shingle, s) for t in texts], np.uint64).view(np.int64)) for s in WIDE_SEEDS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *halves], ["doc_id", "a", "b"])
+            raw = b"".join(majority(t, shingle, xxhash.xxh3_128_digest, WIDE_BITS, True) for t in batch.column(1).to_pylist())
+            halves = np.frombuffer(raw, "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1))], ["doc_id", "a", "b"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, a bigint, b bigint")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, a bigint, b bigint")
 
 
-def _wide_keys():
-    """Keys of four blocks each, drawn once and for all; close fingerprints agree on some of them."""
-    rng = np.random.default_rng(11)
-    keys = []
-    for k in range(WIDE_KEYS):
-        key = F.lit(k << 16)
-        for j, block in enumerate(rng.permutation(WIDE_BITS // 4)[:KEY_BLOCKS].tolist()):
-            part = F.shiftrightunsigned("a" if block < 16 else "b", 4 * (block % 16)).bitwiseAND(F.lit(15)).cast("int")
-            key = key.bitwiseOR(F.shiftleft(part, 4 * j))
-        keys.append(key)
-    return F.array(*keys)
+def _wide_keys(blocks: int, keys: int):
+    """Keys of some blocks each, drawn once and for all; close fingerprints agree on some of them."""
+    rng, found, half = np.random.default_rng(11), [], 64 // WIDE_BLOCK
+    for k in range(keys):
+        key = F.lit(k << 40)
+        for j, block in enumerate(rng.permutation(2 * half)[:blocks].tolist()):
+            part = F.shiftrightunsigned("a" if block < half else "b", WIDE_BLOCK * (block % half)).bitwiseAND(F.lit((1 << WIDE_BLOCK) - 1))
+            key = key.bitwiseOR(F.shiftleft(part, WIDE_BLOCK * j))
+        found.append(key)
+    return F.array(*found)
 
 
 def wide_links_in_groups(batches, max_bits: int):
@@ -274,19 +320,22 @@ def led_in_groups(batches, shingle: int, similarity: float):
 def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, leader): documents to drop, each with an earlier document whose shingles are at least that similar (Jaccard).
 
-    Candidates are components of wide fingerprints that agree on at least ``similarity`` of their bits. Of members with equal shingles
+    Candidates are components of wide fingerprints that differ in no more bits than pairs of that similarity do, but for a few in a thousand. Of members with equal shingles
     the first stands for all. The smallest ids of a component lead it, but for those that are similar to an earlier leader; members that aren't
     similar to a leader choose leaders among themselves again, until none is left. So no two kept members of a component are that similar, and
     every dropped document is verified against its leader. The work is the members of a component times its dissimilar ones.
+
+    Null, empty and wordless texts are equal to one another. Rows that share a doc_id are dropped or kept together, those without one are kept. Texts of any length are
+    compared whole; extra columns are ignored; an empty table gives no rows.
     """
     prints = materialise(wide_fingerprints(documents, shingle))
     classes = materialise(prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    keyed = classes.select("a", "b", "rep", F.explode(_wide_keys()).alias("key"))
+    keyed = classes.select("a", "b", "rep", F.explode(_wide_keys(*wide_key_shape(classes.count(), similarity))).alias("key"))
     size = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumnRenamed("key", "k")
     met = keyed.join(size, F.col("key") == F.col("k")).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "a", "b", "rep").repartition("g").sortWithinPartitions("g")
-    max_bits = int(WIDE_BITS * (1 - similarity))
+    max_bits = most_differing(similarity)
     comps = connected_components(dealt.mapInArrow(lambda batches: wide_links_in_groups(batches, max_bits), "u bigint, v bigint"))
     # Only documents that share a component: linked classes, and classes of several documents.
     several = classes.join(comps, F.col("rep") == F.col("node"), "left").filter((F.col("n") > 1) | F.col("component").isNotNull())
@@ -311,11 +360,15 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
         sizes = left.groupBy("component").agg(F.count("*").alias("m")).filter("m > 1")
         chunks = sizes.select(F.col("component").alias("c"), F.ceil(F.col("m") / MEMBERS).cast("int").alias("chunks"))
         open_ = left.join(chunks, F.col("component") == F.col("c"))
+        salt = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
         order = Window.partitionBy("component").orderBy("doc_id")
-        lead = open_.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LEADERS)
+        # The first of each chunk, then the first of these: no task sorts a whole component.
+        first = Window.partitionBy("component", "salt").orderBy("doc_id")
+        lead = open_.withColumn("salt", salt).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= LEADERS)
+        lead = lead.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LEADERS)
         lead = lead.withColumn("chars", F.sum(F.length(F.coalesce("text", F.lit("")))).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("place") == 1) | (F.col("chars") <= LEADERS_CHARS))
         lead = lead.select("component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.lit(False).alias("member"), "doc_id", "text")
-        rows = lead.unionByName(open_.select("component", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("salt"), F.lit(True).alias("member"), "doc_id", "text"))
+        rows = lead.unionByName(open_.select("component", salt.alias("salt"), F.lit(True).alias("member"), "doc_id", "text"))
         rows = rows.repartition("component", "salt").sortWithinPartitions("component", "salt", "member", "doc_id")
         judged = materialise(rows.mapInArrow(lambda batches: led_in_groups(batches, shingle, similarity), "doc_id bigint, component bigint, text string, leader bigint"))
         found = judged.filter("leader < doc_id").select("doc_id", "leader")
