@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from tests.llm.test_suffixdedup import brute_force
 
@@ -47,3 +49,29 @@ def test_run_is_registered(spark, sf):
 
     assert entry.queries()["pipeline"] is C.run
     assert [name for name, _ in C.STAGES] == ["toxicity", "near_duplicates", "repeats", "decontamination", "packing"]
+
+
+def test_odd_rows_and_columns_go_through_every_stage(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    more = {"rest": F.lit("r"), "n_removed": F.col("doc_id") * 2, "a.b": F.timestamp_micros(F.col("doc_id") + 1), "key": F.array(F.lit(1), F.lit(None)), "dropped_id": F.lit(None).cast("int")}
+    docs = docs.withColumns(more)
+    odd = [(10_001, None), (None, "one two"), (None, None), (10_002, ""), (10_003, " .. "), (10_004, "word " * 30_000), (10_005, "twice, the same"), (10_005, "twice, the same")]
+    odd = spark.createDataFrame(odd, "doc_id bigint, text string")
+    rows = docs.unionByName(odd.withColumns({k: v for k, v in more.items()}), allowMissingColumns=True)
+    rows.write.parquet(f"{tmp_path}/in")
+    rows = spark.read.parquet(f"{tmp_path}/in")
+    before = {r.doc_id: r for r in rows.collect()}
+    for name, stage in C.STAGES:
+        assert stage(spark, rows.limit(0), sf).count() == 0
+        found = stage(spark, rows, sf)
+        got = found.collect()
+        if name == "packing":
+            assert {r.doc_id for r in got} == set(before)
+            continue
+        assert found.columns == rows.columns
+        for r in got:
+            was = before[r.doc_id]
+            assert all(r[c] == was[c] for c in ("rest", "n_removed", "a.b", "key", "dropped_id", "lang", "source")) or r.doc_id is None
+            assert r.text is None or len(r.text) <= len(before[r.doc_id].text or "") or r.doc_id is None
+        ids = [r.doc_id for r in got]
+        assert ids.count(None) == 2 and (name == "near_duplicates" or {10_001, 10_002, 10_003} <= set(ids))

@@ -99,3 +99,11 @@ def test_long_texts_are_cut_into_stretches_without_losing_windows(monkeypatch):
         for r in suffixdedup.contexts(list(texts), np.array(ids), 100, np.array(base)):
             starts[int(r["doc"])] += range(int(r["start"]), int(r["start"]) + int(r["more"]) + 1)
     assert {k: sorted(v) for k, v in starts.items()} == {k: list(range(max(0, len(d) - 99))) for k, d in enumerate(docs)}
+
+
+def test_longer_strings_than_a_byte_counts(spark):
+    rng = random.Random(8)
+    block = "".join(rng.choices("abcdefgh", k=1200))
+    texts = {1: block, 2: "x" + block + "y", 3: block[:500] + "z" + block[500:]}
+    got = deduplicate(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), least=400).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in got} == {k: v[:2] for k, v in brute_force(texts, 400).items()}

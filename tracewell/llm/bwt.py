@@ -9,12 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Sorted prefixes are this long, so backward extension is exact for shorter ones.
-SORTED = 128
-
-
-def rotations(text: np.ndarray) -> np.ndarray:
-    """Starts of the rotations of a byte array, sorted by their first SORTED bytes."""
+def rotations(text: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the rotations of a byte array, sorted by their first ``least`` bytes or more, so backward extension is exact up to there."""
     n = len(text)
     ring = np.resize(text, n + 8)
     key = np.zeros(n, np.uint64)
@@ -26,7 +22,7 @@ def rotations(text: np.ndarray) -> np.ndarray:
         ordered = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if width >= SORTED or new[order[-1]] == n - 1:
+        if width >= least or new[order[-1]] == n - 1:
             return order
         key = new.astype(np.uint64) << np.uint64(32) | np.roll(new, -(width % n)).astype(np.uint64)
         width *= 2
@@ -63,7 +59,7 @@ class Wavelet:
 def repeat_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted rotations, class of each): rotations are of one class if their first ``least`` bytes are equal."""
     n = len(text)
-    order = rotations(text)
+    order = rotations(text, least)
     wavelet = Wavelet(text[order - 1])
     apart = np.zeros(n + 1, bool)  # whether a rotation's common prefix with the one before is known to be shorter
     apart[[0, n]] = True

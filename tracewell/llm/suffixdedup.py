@@ -10,8 +10,9 @@ Texts travel compressed, anchors and ranges as packed arrays, a row for each bat
 by a bucket of their id. Equal contexts of a batch are merged before the shuffle, and an anchor with very many
 different contexts is dealt again by single windows, so no key's rows pile up in a task.
 
-Defined results: null and empty texts have no bytes and no spans; rows that repeat a doc_id are one document; a null doc_id counts as
-the smallest; an empty table gives no rows; extra columns are ignored.
+Defined results: null and empty texts have no bytes and no spans; texts of any length are read whole; doc_id is read as a 64-bit integer; rows that repeat a
+doc_id and its text are one document (an id's texts have to be equal); a null doc_id counts as the smallest; an empty table gives no rows; extra columns
+are ignored by ``deduplicate`` and kept, of whatever name and kind, by ``cut_repeats``.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from . import bwt
-from .common import materialise
+from .common import col, materialise, released
 
 #: Bytes of an anchor: longer ones meet less by chance, shorter ones are fewer.
 GRAM = 48
@@ -37,10 +39,10 @@ MANY = 1024
 PARTITION_BYTES = 64 << 20
 LEAST_ID = -(1 << 63)
 
-ANCHOR = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "<u1")])
-RANGE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("more", "<u1")])
-WANTED = np.dtype([("doc", "<i8"), ("start", "<u4"), ("more", "<u1"), ("key", "<u8"), ("many", "<u1")])
-HELD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "<u1")])
+ANCHOR = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "<u2")])
+RANGE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("more", "<u2")])
+WANTED = np.dtype([("doc", "<i8"), ("start", "<u4"), ("more", "<u2"), ("key", "<u8"), ("many", "<u1")])
+HELD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "<u2")])
 COVERED, ANCHORS, CONTEXTS, TEXTS = 0, 1, 2, 3
 ROW = "bucket int, kind int, doc bigint, id bigint, data binary"
 NAMES = ["bucket", "kind", "doc", "id", "data"]
@@ -306,13 +308,13 @@ def ranges(documents: DataFrame, least: int, to: int) -> DataFrame:
                 yield _rows(_cover(windows_in_contexts(held[mine], data[take], least), to))
                 lo = hi
 
-    found = texts.mapInArrow(find, ROW)
+    found = texts.mapInArrow(lambda batches: released(find(batches)), ROW)
     found = materialise(found)
-    met = materialise(by_bucket(found.filter(F.col("kind") == ANCHORS), parts).mapInArrow(meet, ROW))
+    met = materialise(by_bucket(found.filter(F.col("kind") == ANCHORS), parts).mapInArrow(lambda batches: released(meet(batches)), ROW))
     home = documents.select("bucket", F.lit(TEXTS).alias("kind"), "doc", F.lit(None).cast("bigint").alias("id"), "data")
     asked = met.filter(F.col("kind") == CONTEXTS).unionByName(home)
-    held = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(cut, ROW)
-    expanded = by_bucket(held, parts).mapInArrow(expand, ROW)
+    held = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda batches: released(cut(batches)), ROW)
+    expanded = by_bucket(held, parts).mapInArrow(lambda batches: released(expand(batches)), ROW)
     is_cover = F.col("kind") == COVERED
     return found.filter(is_cover).unionByName(met.filter(is_cover)).unionByName(expanded)
 
@@ -349,11 +351,16 @@ def kept_text(data: bytes, covered: np.ndarray) -> str:
 
 
 def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, the carried columns]) of every row (doc_id bigint, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, rest]) of every row (doc_id bigint, text).
+
+    ``rest`` is a struct of the carried columns, by their numbers: c0, c1, ...
+    """
+    if not 1 <= least < 1 << 16:
+        raise ValueError("strings of 1 to 65535 bytes can be sought")
     to = 4 * partitions(documents)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST_ID))
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit(None).cast("string")
+    rest = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None).cast("string")
     base = documents.select(doc.alias("doc"), F.col("doc_id").cast("bigint").alias("id"), data.alias("data"), rest.alias("rest"))
 
     def placed(batches):
@@ -363,14 +370,15 @@ def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False,
             data = pa.array([packer.compress(x) for x in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), TEXTS, np.int32)), *batch.columns[:2], data, batch.column(3)], [*NAMES, "rest"])
 
-    texts = base.mapInArrow(placed, f"{ROW}, rest string")
-    covered = ranges(texts.drop("rest"), least, to).withColumn("rest", F.lit(None).cast("string"))
+    kind = base.schema["rest"].dataType
+    texts = base.mapInArrow(lambda batches: released(placed(batches)), StructType([*_parse_datatype_string(ROW).fields, StructField("rest", kind)]))
+    covered = ranges(texts.drop("rest"), least, to).withColumn("rest", F.lit(None).cast(kind))
 
     def remove(batches):
         bucket, parts_of, rows, heads = None, [], np.empty(0, RANGE), None
         for batch in batches:
-            out = []
-            for b, kind, doc, row_id, data, others in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            out, at = [], []
+            for i, (b, kind, doc, row_id, data) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
                 if b != bucket:
                     bucket, parts_of, heads = b, [], None
                 if kind == COVERED:
@@ -382,17 +390,27 @@ def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False,
                 data = unzip(data)
                 gone, spans = kept_bytes(data, rows[lo:hi], least)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
-                out.append((row_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), others, *([kept_text(data, gone)] if with_text else [])))
+                at.append(i)
+                out.append((row_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept_text(data, gone)] if with_text else [])))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names_out)  # noqa: B905
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds)]  # noqa: B905
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(5).take(pa.array(at))], names_out)
 
-    names_out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest", *["kept_text"] * with_text]
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest string" + ", kept_text string" * with_text
+    names_out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text, "rest"]
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
+    schema = StructType([*_parse_datatype_string(schema).fields, StructField("rest", kind)])
     both = covered.unionByName(texts)
-    done = both.repartition(partitions(documents), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(remove, schema)
-    if carry:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in carry)
-        done = done.withColumn("rest", F.from_json("rest", kinds)).select("*", *[F.col(f"rest.`{c}`").alias(c) for c in carry])
-    return done.drop("rest")
+    done = both.repartition(partitions(documents), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda batches: released(remove(batches)), schema)
+    return done if carry else done.drop("rest")
+
+
+def cut_repeats(documents: DataFrame, least: int = 100) -> DataFrame:
+    """The documents, with all their columns, without the strings of ``least`` bytes that occur earlier; a document that only repeats others goes.
+
+    A character stays unless all its bytes are repeated. Texts in which nothing repeats, null ones too, stay as they are.
+    """
+    found = deduplicate(documents, least, with_text=True, carry=tuple(documents.columns))
+    found = found.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
+    text = lambda own: F.when(F.col("n_removed") == 0, own).otherwise(F.col("kept_text"))
+    return found.select(*[(text(F.col(f"rest.c{i}")) if c == "text" else F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(documents.columns)])
