@@ -59,8 +59,20 @@ def blocks(texts: list[str], size: int) -> Iterator[tuple[int, list[str]]]:
         k = stop
 
 
-def release() -> None:
+_stores: list = []
+
+
+def stored(f):
+    """A cached function whose results a worker keeps from task to task, until a task of another operator ends in it."""
+    _stores.append(f)
+    return f
+
+
+def release(own=None) -> None:
     """Hand a worker's unused memory back: workers live on after a task, beside those of later stages."""
+    for f in _stores:
+        if f is not own:
+            f.cache_clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -68,9 +80,9 @@ def release() -> None:
         pass
 
 
-def released(found: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task, whose worker then hands its unused memory back."""
+def released(found: Iterable[pa.RecordBatch], own=None) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, whose worker then hands its unused memory back, but for what its ``own`` cached function holds."""
     try:
         yield from found
     finally:
-        release()
+        release(own)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, released
 
 #: More rounds than any graph has needed (they grow with the logarithm of its size).
 MAX_ROUNDS = 60
@@ -47,12 +47,15 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[root[out]])], ["u", "v"])
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, forest: bool = False) -> DataFrame:
     """(node, component) for every node that has a link; component is its smallest reachable node.
 
-    ``links``: two bigint columns u, v. Loops and repeated links do no harm; an empty table gives no rows.
+    ``links``: two bigint columns u, v. Loops and repeated links do no harm; an empty table gives no rows. A ``forest`` of few links a node comes
+    from workers already and isn't sent through others.
     """
-    stars = links.select("u", "v").filter("u <> v").mapInArrow(_contract, "u bigint, v bigint")
+    stars = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    if not forest:
+        stars = stars.mapInArrow(lambda batches: released(_contract(batches)), "u bigint, v bigint")
     edges = materialise(stars.distinct())  # each edge has u > v
     state = None
     for _ in range(MAX_ROUNDS):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, released
+from .common import blocks, materialise, released, stored
 
 BLOCK = 1 << 21
 #: Distinct pieces of text whose ids a worker keeps; beyond it the store is emptied and filled anew.
@@ -138,6 +138,7 @@ class Encoder:
         return np.split(ids.astype("<u4", copy=False), cuts[:-1]) if len(cuts) else []
 
 
+@stored
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """The encoder of a worker, with what it has learnt in earlier tasks."""
@@ -177,7 +178,7 @@ def tokenise(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint" + ", ids array<int>" * with_ids
-    return materialise(documents.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), schema))
+    return materialise(documents.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches), encoder_of), schema))
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -129,18 +129,25 @@ def links_in_groups(batches, max_bits: int):
         yield links(rest, [len(rest[0])])
 
 
+def met(keyed: DataFrame, names: tuple[str, ...], solve) -> DataFrame:
+    """(u, v): what ``solve`` finds in the rows (g, *names) of each key, sorted by g.
+
+    Rows are dealt by their key once. The rows of a key that more than CHUNK have are dealt again, to every pair of its chunks that has their own.
+    """
+    counted = keyed.withColumn("m", F.count("*").over(Window.partitionBy("key")))
+    few = counted.filter(F.col("m").between(2, CHUNK)).select(F.col("key").alias("g"), *names).sortWithinPartitions("g")
+    many = counted.filter(F.col("m") > CHUNK).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), *names).repartition("g").sortWithinPartitions("g")
+    run = lambda batches: released(solve(batches))
+    return few.mapInArrow(run, "u bigint, v bigint").unionByName(many.mapInArrow(run, "u bigint, v bigint"))
+
+
 def close_links(classes: DataFrame, max_bits: int, blocks: int | None = None) -> DataFrame:
     """(u, v): links that join all fingerprints of ``classes`` (fp, rep) within max_bits into their components."""
     blocks = blocks or blocks_for(classes.count(), max_bits)
     keyed = classes.select("fp", "rep", F.explode(_keys(blocks, blocks - max_bits)).alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "k")
-    met = keyed.join(size, F.col("key") == F.col("k")).select("fp", "rep", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    met = met.withColumn("own", own).withColumn("other", F.explode(other))
-    group = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp", "rep")
-    dealt = group.repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(lambda batches: links_in_groups(batches, max_bits), "u bigint, v bigint")
+    return met(keyed, ("fp", "rep"), lambda batches: links_in_groups(batches, max_bits))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, max_bits: int = 4, seed: int = 42) -> DataFrame:
@@ -149,7 +156,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, max_bits: int = 4, s
         raise ValueError("1 to 8 differing bits can be covered by blocks")
     prints = materialise(fingerprints(documents, shingle, seed))
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comps = connected_components(close_links(classes, max_bits))
+    comps = connected_components(close_links(classes, max_bits), forest=True)
     placed = classes.join(comps, F.col("rep") == F.col("node"), "left").select(
         F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id")
     )
@@ -331,12 +338,8 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
     prints = materialise(wide_fingerprints(documents, shingle))
     classes = materialise(prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     keyed = classes.select("a", "b", "rep", F.explode(_wide_keys(*wide_key_shape(classes.count(), similarity))).alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumnRenamed("key", "k")
-    met = keyed.join(size, F.col("key") == F.col("k")).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "a", "b", "rep").repartition("g").sortWithinPartitions("g")
     max_bits = most_differing(similarity)
-    comps = connected_components(dealt.mapInArrow(lambda batches: wide_links_in_groups(batches, max_bits), "u bigint, v bigint"))
+    comps = connected_components(met(keyed, ("a", "b", "rep"), lambda batches: wide_links_in_groups(batches, max_bits)), forest=True)
     # Only documents that share a component: linked classes, and classes of several documents.
     several = classes.join(comps, F.col("rep") == F.col("node"), "left").filter((F.col("n") > 1) | F.col("component").isNotNull())
     several = several.select(F.col("a").alias("x"), F.col("b").alias("y"), F.coalesce("component", "rep").alias("component"))
@@ -348,7 +351,7 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
             found = [xxhash.xxh3_128_digest(shingle_array(t, shingle).tobytes()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], ["doc_id", "component", "text", "digest"])
 
-    known = texts.join(members, F.col("doc_id") == F.col("id")).select("doc_id", "component", "text").mapInArrow(digests, "doc_id bigint, component bigint, text string, digest binary")
+    known = texts.join(members, F.col("doc_id") == F.col("id")).select("doc_id", "component", "text").mapInArrow(lambda batches: released(digests(batches)), "doc_id bigint, component bigint, text string, digest binary")
     known = materialise(known)
     reps = materialise(known.groupBy("component", "digest").agg(F.min("doc_id").alias("rep")).select(F.col("component").alias("rc"), F.col("digest").alias("rd"), "rep"))
     mine = (F.col("component") == F.col("rc")) & (F.col("digest") == F.col("rd"))
@@ -370,7 +373,7 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
         lead = lead.select("component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.lit(False).alias("member"), "doc_id", "text")
         rows = lead.unionByName(open_.select("component", salt.alias("salt"), F.lit(True).alias("member"), "doc_id", "text"))
         rows = rows.repartition("component", "salt").sortWithinPartitions("component", "salt", "member", "doc_id")
-        judged = materialise(rows.mapInArrow(lambda batches: led_in_groups(batches, shingle, similarity), "doc_id bigint, component bigint, text string, leader bigint"))
+        judged = materialise(rows.mapInArrow(lambda batches: released(led_in_groups(batches, shingle, similarity)), "doc_id bigint, component bigint, text string, leader bigint"))
         found = judged.filter("leader < doc_id").select("doc_id", "leader")
         dropped = found if dropped is None else dropped.unionByName(found)
         left = judged.filter("leader IS NULL").select("doc_id", "component", "text")

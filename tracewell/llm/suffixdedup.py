@@ -32,7 +32,7 @@ from .common import col, materialise, released
 #: Bytes of an anchor: longer ones meet less by chance, shorter ones are fewer.
 GRAM = 48
 #: Text whose anchors are sought at once (longer texts in overlapping stretches), bytes of contexts sent at once, and bytes of one transform.
-STRETCH, BLOCK, TRANSFORM = 1 << 20, 1 << 22, 1 << 20
+STRETCH, BLOCK, TRANSFORM = 1 << 19, 1 << 22, 1 << 20
 #: An anchor with more different contexts than this is dealt by single windows.
 MANY = 1024
 #: Bytes of input for each partition of a shuffle beyond spark.sql.shuffle.partitions.
@@ -208,9 +208,11 @@ def windows_in_contexts(held: np.ndarray, data: np.ndarray, least: int) -> np.nd
     return classes(found, "class")[1]
 
 
-def ranges(documents: DataFrame, least: int, to: int) -> DataFrame:
-    """Rows of kind COVERED: starts of windows that occur earlier, packed by the bucket (of ``to``) of their document."""
-    texts = documents.select(F.lit(0).alias("bucket"), F.lit(TEXTS).alias("kind"), "doc", F.lit(None).cast("bigint").alias("id"), "data")
+def ranges(documents: DataFrame, raw: DataFrame, least: int, to: int) -> DataFrame:
+    """Rows of kind COVERED: starts of windows that occur earlier, packed by the bucket (of ``to``) of their document.
+
+    ``documents``: rows of kind TEXTS; ``raw``: (doc, data) of the same, as they are.
+    """
     parts = partitions(documents)
     buckets = 4 * parts
 
@@ -218,7 +220,7 @@ def ranges(documents: DataFrame, least: int, to: int) -> DataFrame:
         """Texts -> their contexts by key; those equal to an earlier one of the batch are covered at once."""
         for batch in batches:
             got = []
-            for block in stretches([unzip(x) for x in batch.column(4).to_pylist()], batch.column(2).to_pylist(), least):
+            for block in stretches(batch.column(1).to_pylist(), batch.column(0).to_pylist(), least):
                 docs, ids, base = zip(*block, strict=True)
                 got.append(contexts(list(docs), np.array(ids, np.int64), least, np.array(base)))
             firsts, later = classes(np.concatenate(got) if got else np.empty(0, ANCHOR), "key", "context")
@@ -308,7 +310,7 @@ def ranges(documents: DataFrame, least: int, to: int) -> DataFrame:
                 yield _rows(_cover(windows_in_contexts(held[mine], data[take], least), to))
                 lo = hi
 
-    found = texts.mapInArrow(lambda batches: released(find(batches)), ROW)
+    found = raw.select("doc", "data").mapInArrow(lambda batches: released(find(batches)), ROW)
     found = materialise(found)
     met = materialise(by_bucket(found.filter(F.col("kind") == ANCHORS), parts).mapInArrow(lambda batches: released(meet(batches)), ROW))
     home = documents.select("bucket", F.lit(TEXTS).alias("kind"), "doc", F.lit(None).cast("bigint").alias("id"), "data")
@@ -372,7 +374,7 @@ def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False,
 
     kind = base.schema["rest"].dataType
     texts = base.mapInArrow(lambda batches: released(placed(batches)), StructType([*_parse_datatype_string(ROW).fields, StructField("rest", kind)]))
-    covered = ranges(texts.drop("rest"), least, to).withColumn("rest", F.lit(None).cast(kind))
+    covered = ranges(texts.drop("rest"), base, least, to).withColumn("rest", F.lit(None).cast(kind))
 
     def remove(batches):
         bucket, parts_of, rows, heads = None, [], np.empty(0, RANGE), None
