@@ -21,7 +21,7 @@ from .common import materialise
 from .components import connected_components, roots
 
 #: Vectors of a cluster on average; vectors of a label that centroids are fitted on at most; centroids of a label at most.
-CLUSTER, SAMPLE, CENTROIDS = 1500, 8192, 4096
+CLUSTER, SAMPLE, CENTROIDS = 500, 8192, 4096
 #: Rows and columns of a block of a cluster's pairs; pairs of a block handled at once.
 SHARD, COLUMNS, PAIRS_AT_ONCE = 512, 4096, 65536
 #: Clusters that a vector is dealt to, tried in turn until the audit is content; labels that never pass are compared in pairs of chunks of WHOLE.
