@@ -124,6 +124,9 @@ def test_results_by_shape():
 def test_config():
     c = policy.Config.parse({"deny_globs": [".env*"], "max_content_bytes": 0, "manifest_dir": "", "unknown": 1, "provider_manifests": [{"base_url": "https://x", "models": ["m"]}, {"base_url": "ftp://x"}, {"base_url": "https://y", "more": 1}]})
     assert c.deny == (".env*",) and c.max_bytes == policy.MAX_CONTENT_BYTES and len(c.problems) == 4 and len(c.providers) == 1
+    assert policy.Config.parse({}).deny == policy.DENY_GLOBS and "*.pem" in policy.Config().policy.deny
+    refused = [{"base_url": "http://x", "models": ["m"]}, {"base_url": "https://x"}, {"base_url": "https://x", "models": "m"}, {"base_url": "https://x", "models": [1]}, "x"]
+    assert len(policy.Config.parse({"provider_manifests": refused}).problems) == len(refused)
 
 
 def test_canonical_json():

@@ -11,13 +11,15 @@ from .text import basename, glob_match
 
 #: The default ceiling of stored content, in bytes.
 MAX_CONTENT_BYTES = 104_857_600
+#: Paths whose content is withheld unless settings say otherwise.
+DENY_GLOBS = (".env*", "*.pem", "id_rsa*", "*/.ssh/*", "*credentials*")
 
 
 @dataclass(frozen=True)
 class Policy:
     """Deny globs, tried on the full path and its last part, and a ceiling of size."""
 
-    deny: tuple[str, ...] = ()
+    deny: tuple[str, ...] = DENY_GLOBS
     max_bytes: int = MAX_CONTENT_BYTES
 
     def denies(self, path: Column) -> Column:
@@ -42,7 +44,7 @@ def content_key(path: Column, cid: Column, state: Column) -> Column:
 class Config:
     """Component settings, with everything that is wrong with them."""
 
-    deny: tuple[str, ...] = ()
+    deny: tuple[str, ...] = DENY_GLOBS
     max_bytes: int = MAX_CONTENT_BYTES
     manifest_dir: str = "manifests"
     providers: tuple[dict, ...] = ()
@@ -72,10 +74,11 @@ class Config:
             else:
                 c.problems.append("error: max_content_bytes must be a positive integer")
         for block in raw.get("provider_manifests") or []:
-            if not isinstance(block, dict) or set(block) - {"base_url", "api_key_env", "models"} or not str(block.get("base_url", "")).startswith(("http://", "https://")):
+            models = block.get("models") if isinstance(block, dict) else None
+            if not (isinstance(models, list) and models and all(isinstance(m, str) and m for m in models)) or set(block) - {"base_url", "api_key_env", "models"} or not str(block.get("base_url", "")).startswith("https://"):
                 c.problems.append(f"error: provider block {block!r} is refused")
             else:
-                c.providers += ({"models": [], **block},)
+                c.providers += (block,)
         return c
 
     @property

@@ -14,8 +14,9 @@ def pair_calls(starts: DataFrame, ends: DataFrame, key: str, keep_lone_ends: boo
 
 def next_end(events: DataFrame, session: str, seq: str, is_start: Column, is_end: Column, value: Column) -> DataFrame:
     """Each start with the first end after it in its session, if there is one."""
-    w = Window.partitionBy(session).orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
-    found = F.min(F.when(is_end, F.struct(F.col(seq).alias("seq"), value.alias("value")))).over(w)
+    # From the session's end backwards the frame only grows, so each row is visited once.
+    w = Window.partitionBy(session).orderBy(F.col(seq).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.last(F.when(is_end, F.struct(F.col(seq).alias("seq"), value.alias("value"))), ignorenulls=True).over(w)
     return events.withColumn("end", found).filter(is_start).select(session, F.col(seq).alias("start_seq"), F.col("end.seq").alias("end_seq"), F.col("end.value").alias("end_value"))
 
 

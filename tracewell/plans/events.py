@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, graph, hierarchy, pairing
+from ..operators import classify, graph, hierarchy, pairing, runs
 from .base import HOST, LINEAGE, big, host, lineage, query
 
 
@@ -226,16 +226,17 @@ def scope_sessions(t):
 @query(f"WITH RECURSIVE {TREE} SELECT node, arg_max(ancestor, depth) AS root, arg_min(ancestor, depth) FILTER (depth > 0 AND ancestor LIKE 'n%') AS enclosing FROM up GROUP BY 1")
 def root_runs(t):
     """The root of each run, and the nearest tracked run that encloses it."""
-    closure = hierarchy.ancestors(tree(t))
-    near = closure.filter((F.col("depth") > 0) & F.col("ancestor").startswith("n")).groupBy("node").agg(F.min_by("ancestor", "depth").alias("enclosing"))
-    return hierarchy.roots_of(closure).join(near, "node", "left")
+    nodes = tree(t)
+    near = hierarchy.inherited(nodes.withColumn("enclosing", F.when(F.col("node").startswith("n"), F.col("node"))), "enclosing")
+    return hierarchy.roots(nodes).join(near, "node", "left")
 
 
 @query("""SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS node, 'a' || CAST(n_nationkey % 3 AS VARCHAR) AS agent FROM nation WHERE n_nationkey % 3 <> n_regionkey""")
 def agent_boundaries(t):
     """Runs whose own agent differs from the inherited one."""
-    n = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("a"), F.col("n_nationkey") % 3).alias("agent"), F.concat(F.lit("a"), "n_regionkey").alias("inherited"))
-    return n.filter(F.col("agent").isNotNull() & ~F.col("agent").eqNullSafe(F.col("inherited"))).drop("inherited")
+    n = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("a"), F.col("n_nationkey") % 3).alias("agent"))
+    r = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.concat(F.lit("a"), "r_regionkey").alias("agent"))
+    return runs.boundaries(n.unionByName(r), "agent").filter(F.col("node").startswith("n")).select("node", "agent")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'agent' WHEN turn % 5 = 3 THEN 'gateway_request' WHEN regexp_matches(ltrim(t), '^(<task-notification>|<local-command-caveat>|<command-name>|<system-reminder>)') THEN 'system' ELSE 'user' END AS author
@@ -254,7 +255,9 @@ def timestamps(t):
     return t("events").select("event_id", F.date_trunc("second", "ts").alias("at"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("name"))
 
 
-@query()
+@query(f"""WITH {LINEAGE}, n AS (SELECT *, coalesce(sum(CASE WHEN event = 'SessionEnded' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM lineage)
+SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(i AS INT) AS incarnation, count(*) AS n_events, count(*) FILTER (event = 'PromptSubmitted') AS n_prompts, count(*) FILTER (event = 'ToolCallEnded') AS n_tools,
+  count(*) FILTER (event = 'ToolCallEnded' AND is_error) AS n_failed, count(*) FILTER (event = 'ToolCallEnded' AND is_error IS NULL) AS n_unknown, bool_or(event = 'SessionEnded') AS ended FROM n GROUP BY session_id, i""")
 def session_summaries(t):
     """Sessions folded in order; the streaming form gives the same rows (tests)."""
     from ..streaming.sessions import summarise_batch

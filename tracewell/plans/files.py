@@ -100,14 +100,16 @@ def strict_edits(t):
     return t("documents").select("doc_id", edit(False).alias("once"), digest(edit(True)).alias("every"))
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents), e AS (SELECT *, len(list_filter(l, lambda x: x = l[1])) AS same, len(l) AS n FROM d)
-SELECT doc_id, CASE WHEN same > 1 THEN 'Ambiguous' WHEN n = 1 THEN 'UnterminatedAtEof' END AS refusal,
-CASE WHEN same = 1 AND n > 1 THEN sha256(array_to_string(list_concat(['replaced'], l[2:]), chr(10))) END AS cid FROM e WHERE NOT contains(text, chr(13)) AND right(text, 1) <> chr(10) AND text <> ''""")
+@query("""WITH d AS (SELECT doc_id, text, right(text, 1) = chr(10) AS ended, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT *, CASE WHEN text = '' THEN [] WHEN ended THEN parts[:len(parts) - 1] ELSE parts END AS raw FROM d),
+b AS (SELECT *, len(raw) AS n, list_transform(raw, lambda x, i: CASE WHEN (i < len(raw) OR ended) AND right(x, 1) = chr(13) THEN left(x, -1) ELSE x END) AS bare FROM l),
+e AS (SELECT *, len(list_filter(bare, lambda x: x = coalesce(bare[1], ''))) AS same, len(list_filter(raw, lambda x, i: right(x, 1) = chr(13) AND (i < len(raw) OR ended))) AS feeds FROM b),
+r AS (SELECT *, CASE WHEN same > 1 THEN 'Ambiguous' WHEN same = 0 THEN 'NotFound' WHEN n = 1 AND NOT ended THEN 'UnterminatedAtEof' WHEN feeds > 0 THEN 'TerminatorsNotEstablished' END AS refusal FROM e)
+SELECT doc_id, refusal, CASE WHEN refusal IS NULL AND text IS NOT NULL THEN sha256('replaced' || chr(10) || substr(text, length(raw[1]) + 2)) END AS cid FROM r""")
 def line_edits(t):
     """The first line of each document replaced as a run of lines, or why that can't be known."""
-    d = t("documents").filter(~F.contains("text", F.lit("\r")) & (F.substring("text", -1, 1) != "\n") & (F.col("text") != ""))
-    first = F.split(F.col("text"), "\n")[0]
-    edit = d.select("doc_id", X.line_edit(F.col("text"), F.array(first), F.array(F.lit("replaced"))).alias("e"))
+    first = F.regexp_replace(F.coalesce(F.get(X.lines_of("text"), F.lit(0)), F.lit("")), "\r?\n$", "")
+    edit = t("documents").select("doc_id", X.line_edit(F.col("text"), F.array(first), F.array(F.lit("replaced"))).alias("e"))
     return edit.select("doc_id", F.col("e.refusal").alias("refusal"), digest("e.text").alias("cid"))
 
 
@@ -211,11 +213,10 @@ def normal_paths(t):
     return t("pages").select("page_id", big(F.length("html")).alias("n_chars"), F.startswith("url", F.lit("https")).alias("is_safe"), path.alias("path"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9-]', '_', 'g'), '_', '', 'g') AS plain, length(regexp_replace(url, '[^A-Za-z0-9-]', '0123456', 'g')) AS n FROM pages WHERE regexp_full_match(url, '[!-~]*')")
+@query(r"""SELECT page_id, array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9-]$') THEN c ELSE '_' || printf('%06x', unicode(c)) END), '') AS safe FROM pages""")
 def path_safe_ids(t):
     """Session ids as file names: an injective escape."""
-    p = t("pages").filter(F.col("url").rlike("^[!-~]*$")).withColumn("safe", X.path_safe("url"))
-    return p.select("page_id", F.regexp_replace("safe", "_[0-9a-f]{6}", "").alias("plain"), big(F.length("safe")).alias("n"))
+    return t("pages").select("page_id", X.path_safe("url").alias("safe"))
 
 
 @query("SELECT doc_id, encode(text) IS NOT NULL AS valid, sha256(text) AS cid FROM documents")

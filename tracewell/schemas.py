@@ -15,7 +15,7 @@ EVENT = _struct(
     attributes=T.ArrayType(_S), data=T.VariantType(), data_schema=T.VariantType(), category_profile=T.VariantType(), metadata=T.VariantType(),
 )
 #: One framework callback a line.
-CALLBACK = _struct(callback=_S, run_id=_S, parent_run_id=_S, name=_S, tags=T.ArrayType(_S), metadata=T.MapType(_S, _S), payload=T.VariantType(), seq=_L)
+CALLBACK = _struct(callback=_S, run_id=_S, parent_run_id=_S, name=_S, tags=T.ArrayType(_S), metadata=T.MapType(_S, _S), error_mro=T.ArrayType(_S), payload=T.VariantType(), seq=_L)
 HUNK = _struct(old=_S, new=_S)
 OBSERVATION = _struct(path=_S, content=_S, mode=_S, user_modified=_B, hunks=T.ArrayType(HUNK), replace_all=_B, line_oriented=_B, replay_from=_S)
 """What one tool result or patch block says about one file."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,13 +36,19 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def summarise_batch(events: DataFrame) -> DataFrame:
-    """Of all lineage events (session_id, seq, event, is_error): a row for each incarnation of each session."""
+    """Of all lineage events (session_id, seq, event, is_error): a row for each incarnation of each session.
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        done, left = fold(key[0], rows, (0, *EMPTY))
-        return _frame(done + ([(key[0], *left, False)] if left[1] else []))
-
-    return events.groupBy("session_id").applyInPandas(run, SUMMARY)
+    The rows of ``summarise_stream`` as plain aggregations: an incarnation is numbered by the ends before it.
+    """
+    ends = lambda: F.col("event") == "SessionEnded"
+    w = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    tool = F.col("event") == "ToolCallEnded"
+    numbered = events.withColumn("incarnation", F.coalesce(F.sum(ends().cast("int")).over(w), F.lit(0)).cast("int"))
+    return numbered.groupBy("session_id", "incarnation").agg(
+        F.count("*").alias("n_events"), F.count_if(F.col("event") == "PromptSubmitted").alias("n_prompts"), F.count_if(tool).alias("n_tools"),
+        F.count_if(tool & F.coalesce(F.col("is_error"), F.lit(False))).alias("n_failed"), F.count_if(tool & F.col("is_error").isNull()).alias("n_unknown"),
+        F.coalesce(F.bool_or(ends()), F.lit(False)).alias("ended"),
+    )
 
 
 def summarise_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
