@@ -1,3 +1,6 @@
+import time
+
+from tracewell.llm import licenses as L
 import itertools
 import random
 import re
@@ -70,3 +73,25 @@ def test_copies_that_lack_different_guards_are_all_found():
             assert len(got) == len(texts) and max(m.coverage for m in got) >= (1.0 if gap == filler else 0.98)
             assert all(a.end <= b.start + 60 for a, b in itertools.pairwise(got))
     assert [m.name for m in scan(whole + " sublicense", PREPARED)].count("MIT-text") == 1
+
+
+def test_notices_one_after_another_are_all_found():
+    prepared = L.prepare(L.TEMPLATES)
+    for name in ("MIT", "MPL-2.0", "ISC", "CC-BY-4.0", "BSD-3-Clause", "GPL-3.0-header"):
+        for n in (1, 2, 3, 5, 20, 50):
+            for between in (" ", " filler words here ", "\n\n"):
+                got = [m for m in L.scan(between.join([L.TEMPLATES[name]] * n), prepared) if m.name == name]
+                assert len(got) == n and all(m.coverage >= 0.8 for m in got), (name, n, between, len(got))
+
+
+def test_the_longer_of_two_templates_that_fit_is_the_license(spark):
+    rows = [(1, L.TEMPLATES["BSD-3-Clause"]), (2, L.TEMPLATES["BSD-2-Clause"])]
+    got = {r.doc_id: r.license for r in L.scan_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-2-Clause"}
+
+
+def test_a_text_of_many_notices_takes_linear_time():
+    prepared, began = L.prepare(L.TEMPLATES), time.perf_counter()
+    text = "\n".join([L.TEMPLATES["MIT"], "some filler"] * 4000)
+    assert sum(m.name == "MIT" for m in L.scan(text, prepared)) == 4000
+    assert time.perf_counter() - began < 30

@@ -42,9 +42,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The whole URI of a path, with the file system that Spark takes it for: executors open it without Spark."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder name in the shared storage."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
 
 
 def blocks(texts: list[str], size: int) -> Iterator[tuple[int, list[str]]]:

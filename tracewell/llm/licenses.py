@@ -6,7 +6,8 @@ words that are aligned. Stretches of a text are looked at around each occurrence
 is rarest in the text, so long texts and repeated licenses are whole.
 
 Defined results: null and empty texts have no license; of several templates the one with the highest coverage, then the
-most words, then the first name is a document's license; repeated rows are scanned each; extra columns are ignored.
+most words, then the first name is a document's license; repeated rows are scanned each; texts of any length are scanned whole; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released
+
 #: Notices and permission texts of public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -30,6 +33,11 @@ TEMPLATES = {
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
     "and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
@@ -140,28 +148,30 @@ def scan(text: str | None, templates: list[Template], threshold: float = THRESHO
             places.setdefault(w, []).append(i)
     found = []
     for t in near:
-        n = len(t.words)
-        if (guard := min((g for g in t.guards if g in places), key=lambda g: len(places[g]), default=None)) is None:
-            continue
+        n, counts = len(t.words), Counter(t.words)
         used: set[int] = set()  # places of words in matches
+        inside: set[int] = set()  # places between the first and last of them
         # Any covering stretch has some guard, but not all of them have the same one.
-        for g in [guard, *[g for g in t.guards if g in places and g != guard]]:
-            before = t.words.index(g)
-            for at in places[g]:
-                if any(m.name == t.name and m.start <= spans[at][0] < m.end for m in found):
+        for g in sorted((g for g in t.guards if g in places), key=lambda g: len(places[g])):
+            before, at_all = t.words.index(g), places[g]
+            for k, at in enumerate(at_all):
+                if at in inside:
                     continue
                 lo, hi = max(0, at - before - before // 4 - 2), min(len(words), at + (n - before) + (n - before) // 4 + 2)
-                for k in range(2):
-                    pairs = align(words[lo:hi], t.words)
-                    # Words of a match don't count for another; beside one, the stretch is looked at again without it.
-                    if len(pairs) >= threshold * n and sum(lo + i not in used for i, _ in pairs) >= threshold * n:
-                        found.append(Match(t.name, len(pairs) / n, spans[lo + pairs[0][0]][0], spans[lo + pairs[-1][0]][1], n))
-                        used.update(lo + i for i, _ in pairs)
-                        break
-                    beside = [i for i in range(lo, hi) if i in used] if used and not k else []
-                    if not beside:
+                windows = [(lo, hi)]
+                if counts[g] == 1:  # notices one after another: between the same word of its neighbours this one is an anchor
+                    alone = (max(lo, at_all[k - 1] + 1 if k else 0), min(hi, at_all[k + 1] if k + 1 < len(at_all) else hi))
+                    windows = [alone] if alone == (lo, hi) else [alone, (lo, hi)]
+                if used and not inside.isdisjoint(range(lo, hi)):  # beside a match, the stretch is looked at again without it
+                    windows.append((next((i + 1 for i in range(at, lo - 1, -1) if i in inside), lo), next((i for i in range(at, hi) if i in inside), hi)))
+                for a, b in windows:
+                    pairs = align(words[a:b], t.words)
+                    # Words of a match don't count for another.
+                    if len(pairs) >= threshold * n and sum(a + i not in used for i, _ in pairs) >= threshold * n:
+                        found.append(Match(t.name, len(pairs) / n, spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1], n))
+                        used.update(a + i for i, _ in pairs)
+                        inside.update(range(a + pairs[0][0], a + pairs[-1][0] + 1))
                         break
-                    lo, hi = max([lo, *(i + 1 for i in beside if i < at)]), min([hi, *(i for i in beside if i > at)])
     return sorted(found, key=lambda m: (m.start, m.end, m.name))
 
 
@@ -184,5 +194,5 @@ def scan_documents(documents: DataFrame, templates: dict[str, str] | None = None
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, license string, coverage double, n_matches int, matches array<struct<name:string,coverage:double,start:int,end:int>>"
+        lambda batches: released(run(batches)), f"doc_id {kind}, license string, coverage double, n_matches int, matches array<struct<name:string,coverage:double,start:int,end:int>>"
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import materialise, qualified, released, scratch
 
 ID_PREFIX = "urn:tracewell:page:"
 DATE = "2024-01-01T00:00:00Z"
@@ -126,9 +126,12 @@ def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0)
     raw = F.coalesce("html", F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", raw.alias("payload"), F.sha2(raw, 256).alias("digest"))
     firsts = pages.filter(F.length("payload") >= least_revisit_bytes).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"))
-    dealt = pages.join(firsts, F.col("digest") == F.col("of"), "left").select(
-        "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first")
-    )
+    # Which pages revisit which is found on ids alone; payloads are dealt by page, so pages with equal payloads don't meet in a task.
+    keys = pages.select("page_id", "digest").distinct()
+    refers = keys.join(firsts, F.col("digest") == F.col("of")).filter(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
+    refers = refers.select(F.col("page_id").alias("id"), "of", "first")
+    dealt = pages.join(refers, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").select("page_id", "url", "payload", "first")
+    folder = qualified(pages.sparkSession, folder)
 
     def run(batches):
         store, base = open_fs(folder)
@@ -152,11 +155,12 @@ def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0)
         if listed:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*listed, strict=True)], ["path", "n_records", "n_bytes"])
 
-    return materialise(dealt.mapInArrow(run, "path string, n_records bigint, n_bytes bigint"))
+    return materialise(dealt.mapInArrow(lambda batches: released(run(batches)), "path string, n_records bigint, n_bytes bigint"))
 
 
 def read_archives(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """A row per record of the listed archives (column path): identity, digests, type and, if asked, the payload."""
+    folder = qualified(archives.sparkSession, folder)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
     kinds = {"page_id": "bigint", "payload_bytes": "bigint", "refers_to": "bigint", "payload": "binary"}
     arrow = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -177,7 +181,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
                 if rows:
                     yield make(rows)
 
-    return archives.select("path").mapInArrow(run, ", ".join(f"{k} {kinds.get(k, 'string')}" for k in names))
+    return archives.select("path").mapInArrow(lambda batches: released(run(batches)), ", ".join(f"{k} {kinds.get(k, 'string')}" for k in names))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, least_revisit_bytes: int = 0) -> DataFrame:
