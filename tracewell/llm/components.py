@@ -37,7 +37,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None
     return labels
 
 
-def _contract(batches):
+def contract(batches):
     """Within a batch, links become stars around their smallest node."""
     for batch in batches:
         a, b = (batch.column(i).to_numpy() for i in (0, 1))
@@ -50,12 +50,12 @@ def _contract(batches):
 def connected_components(links: DataFrame, forest: bool = False) -> DataFrame:
     """(node, component) for every node that has a link; component is its smallest reachable node.
 
-    ``links``: two bigint columns u, v. Loops and repeated links do no harm; an empty table gives no rows. A ``forest`` of few links a node comes
-    from workers already and isn't sent through others.
+    ``links``: two bigint columns u, v. Loops and repeated links do no harm; an empty table gives no rows. A ``forest`` was contracted by
+    the workers that found it and isn't sent through others.
     """
     stars = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     if not forest:
-        stars = stars.mapInArrow(lambda batches: released(_contract(batches)), "u bigint, v bigint")
+        stars = stars.mapInArrow(lambda batches: released(contract(batches)), "u bigint, v bigint")
     edges = materialise(stars.distinct())  # each edge has u > v
     state = None
     for _ in range(MAX_ROUNDS):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, released
-from .components import connected_components, roots
+from .components import connected_components, contract, roots
 
 #: Distinct fingerprints that may share a key by chance, on average; blocks at most.
 PER_KEY, MOST_BLOCKS = 64, 12
@@ -139,7 +139,7 @@ def met(keyed: DataFrame, names: tuple[str, ...], solve) -> DataFrame:
     many = counted.filter(F.col("m") > CHUNK).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     many = many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), *names).repartition("g").sortWithinPartitions("g")
-    run = lambda batches: released(solve(batches))
+    run = lambda batches: released(contract(solve(batches)))
     return few.mapInArrow(run, "u bigint, v bigint").unionByName(many.mapInArrow(run, "u bigint, v bigint"))
 
 

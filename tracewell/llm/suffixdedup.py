@@ -35,6 +35,8 @@ GRAM = 48
 STRETCH, BLOCK, TRANSFORM = 1 << 19, 1 << 22, 1 << 20
 #: An anchor with more different contexts than this is dealt by single windows.
 MANY = 1024
+#: Buckets of a partition; rows that a task gathers before it packs them by bucket, so packed rows are few for each pair of tasks.
+BUCKETS, GATHERED = 2, 1 << 16
 #: Bytes of input for each partition of a shuffle beyond spark.sql.shuffle.partitions.
 PARTITION_BYTES = 64 << 20
 LEAST_ID = -(1 << 63)
@@ -214,7 +216,7 @@ def ranges(documents: DataFrame, raw: DataFrame, least: int, to: int) -> DataFra
     ``documents``: rows of kind TEXTS; ``raw``: (doc, data) of the same, as they are.
     """
     parts = partitions(documents)
-    buckets = 4 * parts
+    buckets = BUCKETS * parts
 
     def find(batches):
         """Texts -> their contexts by key; those equal to an earlier one of the batch are covered at once."""
@@ -229,6 +231,7 @@ def ranges(documents: DataFrame, raw: DataFrame, least: int, to: int) -> DataFra
 
     def meet(batches):
         """Contexts of a bucket of keys: covered ones, and representatives where a key has several."""
+        late, asked, size = [], [], 0
         for _, rows in _by_bucket(batches):
             got = [unsqueeze(x, ANCHOR)[0] for _, _, _, x in rows]
             firsts, later = classes(np.concatenate(got), "key", "context")
@@ -240,7 +243,18 @@ def ranges(documents: DataFrame, raw: DataFrame, least: int, to: int) -> DataFra
             for name in ("doc", "start", "more", "key"):
                 wanted[name] = firsts[name][count > 1]
             wanted["many"] = count[count > 1] > MANY
-            yield _rows(_cover(later, to) + _dealt(wanted, spread(wanted["doc"], to), CONTEXTS))
+            late.append(later)
+            asked.append(wanted)
+            size += len(later) + len(wanted)
+            if size >= GATHERED:
+                yield told(late, asked)
+                late, asked, size = [], [], 0
+        if size:
+            yield told(late, asked)
+
+    def told(late, asked):
+        wanted = np.concatenate(asked)
+        return _rows(_cover(np.concatenate(late), to) + _dealt(wanted, spread(wanted["doc"], to), CONTEXTS))
 
     def cut(batches):
         """Texts and the contexts wanted of them, by the bucket of the document -> contexts with their bytes, by key."""
@@ -292,6 +306,7 @@ def ranges(documents: DataFrame, raw: DataFrame, least: int, to: int) -> DataFra
 
     def expand(batches):
         """Contexts of a bucket of keys -> covered windows."""
+        late, many = [], 0
         for _, rows in _by_bucket(batches):
             parts_of = [unsqueeze(x, HELD) for _, _, _, x in rows]
             held, data = np.concatenate([h for h, _ in parts_of]), np.frombuffer(b"".join(d for _, d in parts_of), np.uint8)
@@ -307,8 +322,14 @@ def ranges(documents: DataFrame, raw: DataFrame, least: int, to: int) -> DataFra
                 hi = int(fit[-1]) if len(fit) else int(ends[ends > lo][0])
                 mine = order[lo:hi]
                 take = np.repeat(starts[mine] - np.cumsum(size[mine]) + size[mine], size[mine]) + np.arange(size[mine].sum())
-                yield _rows(_cover(windows_in_contexts(held[mine], data[take], least), to))
+                late.append(windows_in_contexts(held[mine], data[take], least))
+                many += len(late[-1])
+                if many >= GATHERED:
+                    yield _rows(_cover(np.concatenate(late), to))
+                    late, many = [], 0
                 lo = hi
+        if many:
+            yield _rows(_cover(np.concatenate(late), to))
 
     found = raw.select("doc", "data").mapInArrow(lambda batches: released(find(batches)), ROW)
     found = materialise(found)
@@ -359,7 +380,7 @@ def deduplicate(documents: DataFrame, least: int = 100, with_text: bool = False,
     """
     if not 1 <= least < 1 << 16:
         raise ValueError("strings of 1 to 65535 bytes can be sought")
-    to = 4 * partitions(documents)
+    to = BUCKETS * partitions(documents)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST_ID))
     rest = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None).cast("string")
