@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, materialise, released, stored
 
-BLOCK = 1 << 21
+#: Code points encoded at once (or one longer text), and rows of a batch taken as strings at once: what a worker holds beside the batch.
+BLOCK, ROWS = 1 << 18, 256
 #: Distinct pieces of text whose ids a worker keeps; beyond it the store is emptied and filled anew.
-KEPT = 500_000
+KEPT = 250_000
 #: White space of the splitting rule outside ASCII, and what may follow an apostrophe.
 SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -160,7 +161,7 @@ def tokenise(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: i
 
     def run(batches):
         encoder, part, met = encoder_of(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for k, block in blocks(texts, BLOCK):
                 out = []

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Code points handled at once; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class Words(NamedTuple):
