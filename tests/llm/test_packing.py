@@ -42,6 +42,16 @@ def test_ids_are_the_tokenisers(encoder):
         assert ids.tolist() == plain(encoder, text), repr(text)
 
 
+def test_a_full_store_keeps_what_most_blocks_held(monkeypatch):
+    monkeypatch.setattr(P, "KEPT", 40)
+    small, rng = P.Encoder(PATH), random.Random(5)
+    for _ in range(60):
+        texts = [" ".join(["of the", *(rng.choice("abcdef") * rng.randint(1, 9) for _ in range(rng.randint(0, 12)))]) for _ in range(4)] + ["", "of " + "".join(rng.choices(ALPHABET, k=30))]
+        assert [x.tolist() for x in small.encode(texts)] == [plain(small, t) for t in texts]
+        assert "of" in small.number and len(small.number) == len(small.sizes) == len(small.met) and small.sizes.sum() == len(small.ids)
+    assert small.met[small.number[" the"]] > 1
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(3)
     for _ in range(200):

@@ -18,6 +18,7 @@ import re
 import unicodedata
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import blocks, materialise, released, stored
 
 #: Code points encoded at once (or one longer text), and rows of a batch taken as strings at once: what a worker holds beside the batch.
-BLOCK, ROWS = 1 << 18, 256
-#: Distinct pieces of text whose ids a worker keeps; beyond it the store is emptied and filled anew.
-KEPT = 250_000
+BLOCK, ROWS = 1 << 21, 2048
+#: Distinct pieces of text whose ids a worker keeps; beyond it those that most blocks held stay.
+KEPT = 500_000
 #: White space of the splitting rule outside ASCII, and what may follow an apostrophe.
 SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -81,8 +82,10 @@ def pieces_of_text(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         begins[hit + 1 + len(ending)] = True
     begins[n] = True
     at = np.flatnonzero(begins)
-    width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-    byte = np.concatenate([[0], np.cumsum(width)])[at]
+    width = np.ones(n, np.uint8)
+    for last in (0x7F, 0x7FF, 0xFFFF):
+        width += points > last
+    byte = np.concatenate([[0], np.cumsum(np.add.reduceat(width, at[:-1], dtype=np.int64))])
     data = pa.py_buffer(joined.encode())
     array = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(byte.astype(np.int64).tobytes()), data])
     first = np.searchsorted(at, stops)  # the break's own place among the pieces
@@ -93,7 +96,7 @@ def pieces_of_text(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts by a tokeniser file; ids of every distinct piece are kept."""
+    """Ids of texts by a tokeniser file; ids of the distinct pieces are kept, up to ``KEPT``."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -103,15 +106,43 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.number: dict[str, int] = {}
-        self.sizes, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        self.sizes, self.ids, self.met = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.number) + len(new) > KEPT:
-            self.number, self.sizes, self.ids = {}, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    def _places(self, found: np.ndarray) -> np.ndarray:
+        """Where the ids of the numbered pieces are, one after another."""
+        size = self.sizes[found]
+        ends = np.cumsum(size)
+        return np.repeat((np.cumsum(self.sizes) - self.sizes)[found] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+    def _forget(self) -> None:
+        """Keep the pieces that most blocks held, at most half of the store and none that only one block held."""
+        keep = np.argsort(-self.met, kind="stable")[: KEPT // 2]
+        keep = np.sort(keep[self.met[keep] > 1])
+        names = list(self.number)
+        self.number = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids, self.sizes, self.met = self.ids[self._places(keep)], self.sizes[keep], self.met[keep] // 2
+
+    def _learn(self, new: list[str]) -> np.ndarray:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        at = np.arange(len(self.number), len(self.number) + len(new))
+        self.number.update(zip(new, at.tolist(), strict=True))
         self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, got), np.int64, len(got))])
-        self.ids = np.concatenate([self.ids, np.fromiter((x for row in got for x in row), np.uint32)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32)])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+        return at
+
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        """The numbers of different pieces, new ones encoded."""
+        look = lambda: np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        at = look()
+        if len(self.number) + np.count_nonzero(at < 0) > KEPT:
+            self._forget()
+            at = look()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._learn([names[k] for k in new.tolist()])
+        self.met[at] += 1
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, little-endian unsigned 32-bit.
@@ -125,16 +156,9 @@ class Encoder:
             return []
         pieces, counts = pieces_of_text(texts)
         coded = pieces.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if new := [x for x in names if x not in self.number]:
-            if len(self.number) + len(new) > KEPT:
-                new = names
-            self._learn(new)
-        number = np.fromiter((self.number[x] for x in names), np.int64, len(names))[coded.indices.to_numpy()]
-        heads = np.cumsum(self.sizes) - self.sizes
-        size = self.sizes[number]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(heads[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ends = np.cumsum(self.sizes[number])
+        ids = self.ids[self._places(number)]
         cuts = np.concatenate([[0], ends])[np.cumsum(counts)]
         return np.split(ids.astype("<u4", copy=False), cuts[:-1]) if len(cuts) else []
 
