@@ -88,18 +88,20 @@ def collection_members(t):
     return d.join(t("conversations").select("conv_id", "turn"), ["conv_id", "turn"])
 
 
-@query("""SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'theirs' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0""")
+@query("""SELECT doc_id, 'q' || quality AS state FROM labels UNION ALL SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def merged_manifests(t):
-    """A union in which our statements win."""
-    d = t("documents")
-    return graph.merge(d.filter("doc_id % 2 = 0").select("doc_id", "lang"), d.filter("doc_id % 3 = 0").select("doc_id", F.lit("theirs").alias("lang")), "doc_id")
+    """A union in which our statements (of labels) win over theirs (of documents)."""
+    ours = t("labels").select("doc_id", F.concat(F.lit("q"), "quality").alias("state"))
+    return graph.merge(ours, t("documents").select("doc_id", F.col("lang").alias("state")), "doc_id")
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1")
+@query("""SELECT doc_id, lang FROM documents EXCEPT ALL
+  SELECT doc_id, CASE WHEN l.toxic = 1 THEN 'withheld' ELSE lang END FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def not_carried(t):
-    """Statements of another manifest that ours doesn't carry unchanged."""
-    d = t("documents").select("doc_id", "source")
-    return d.exceptAll(d.filter("doc_id % 2 = 0"))
+    """Statements of another manifest that ours, in which toxic documents are withheld, doesn't carry unchanged."""
+    theirs = t("documents").select("doc_id", "lang")
+    ours = theirs.join(t("labels").select("doc_id", "toxic"), "doc_id", "left").select("doc_id", F.when(F.col("toxic") == 1, "withheld").otherwise(F.col("lang")).alias("lang"))
+    return theirs.exceptAll(ours)
 
 
 @query("""SELECT conv_id, list_filter(list(DISTINCT role ORDER BY role), lambda r: r <> 'user') AS created, arg_min(role, turn) AS first_claim FROM conversations GROUP BY 1""")
